@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["profiling"]
+AREAS = ["profiling", "tables", "models"]
 
 
 def all_queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["profiling", "tables", "models"]
+AREAS = ["profiling", "tables", "models", "networks"]
 
 
 def all_queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,22 +12,33 @@ from cohortloom.staging import broadcast_if_small, stage
 ROWS_PER_KEY = 100_000
 
 
-def hub_join(
-    left: DataFrame, right: DataFrame, on: str, spread_by: str, rows_per_key: int = ROWS_PER_KEY
+def crowded_keys(left: DataFrame, on: Sequence[str], rows_per_key: int = ROWS_PER_KEY) -> DataFrame | None:
+    """Keys with more rows than ``rows_per_key`` and how often to divide them; None without any."""
+    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_key)
+    crowded = stage(counted.select(*on, F.ceil(F.col("n") / rows_per_key).cast("int").alias("__parts")), "crowded")
+    return None if crowded.isEmpty() else broadcast_if_small(crowded)
+
+
+def divided_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: str, crowded: DataFrame | None
 ) -> DataFrame:
     """Inner join that divides the left rows of a crowded key by a hash of ``spread_by``.
 
     The right rows of a crowded key are repeated once per division; all others stay single.
-    ``left`` is counted first, so it should be a staged table.
     """
-    crowded = stage(
-        left.groupBy(on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_key)
-        .select(on, F.ceil(F.col("n") / rows_per_key).cast("int").alias("__parts")), "crowded")
-    if crowded.isEmpty():
+    on = list(on)
+    if crowded is None:
         return left.join(right, on)
-    crowded = broadcast_if_small(crowded)
     parts = F.coalesce(F.col("__parts"), F.lit(1))
     spread = left.join(crowded, on, "left").withColumn("__part", F.pmod(F.xxhash64(spread_by), parts).cast("int"))
     repeated = right.join(crowded, on, "left").withColumn(
         "__part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return spread.drop("__parts").join(repeated.drop("__parts"), [on, "__part"]).drop("__part")
+    return spread.drop("__parts").join(repeated.drop("__parts"), [*on, "__part"]).drop("__part")
+
+
+def hub_join(
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], spread_by: str, rows_per_key: int = ROWS_PER_KEY
+) -> DataFrame:
+    """``divided_join`` by the crowded keys of ``left``, which is counted and should be staged."""
+    on = [on] if isinstance(on, str) else list(on)
+    return divided_join(left, right, on, spread_by, crowded_keys(left, on, rows_per_key))

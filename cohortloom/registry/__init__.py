@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["profiling", "tables", "models", "networks"]
+AREAS = ["profiling", "tables", "models", "networks", "imputation"]
 
 
 def all_queries() -> dict:

@@ -305,7 +305,7 @@ ORACLES = {
     "histogram_counts": with_panel(
         """SELECT variable, b AS bin, ROUND(lo + (b - 1) * ((hi - lo) / 10), 4) AS lower,
            ROUND(CASE WHEN b < 10 THEN lo + b * ((hi - lo) / 10) ELSE hi END, 4) AS upper,
-           (SELECT COUNT(*) FROM v WHERE v.variable = g.variable
+           (SELECT COUNT(*) FROM v WHERE v.variable = g.variable AND x IS NOT NULL
             AND LEAST(FLOOR((v.x - lo) / (hi - lo) * 10)::INTEGER, 9) + 1 = b) AS n
            FROM (SELECT DISTINCT variable FROM v) g, (SELECT unnest(range(1, 11))::INTEGER AS b),
            (SELECT MIN(x) AS lo, MAX(x) AS hi FROM v)""",

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.text import literal, name
 from cohortloom.operators.moments import dense, sum_vectors
-from cohortloom.operators.transform import column_moments
+from cohortloom.operators.transform import row_count_and_moments
 
 MODEL_SCHEMA = """rep int, outer int, inner int, n_components int, coef array<double>, intercept array<double>,
     x_weight array<double>, x_loading array<double>, y_loading array<double>, x_rotation array<double>,
@@ -42,8 +43,7 @@ def check_variables(df: DataFrame, x_vars: Sequence[str], y_vars: Sequence[str])
 
 def scaling_of(df: DataFrame, x_vars: Sequence[str], y_vars: Sequence[str]) -> Scaling:
     """One aggregate; also proves that no value is missing."""
-    moments = column_moments(df.withColumn("__row", F.lit(1)), ["__row", *x_vars, *y_vars])
-    n = moments["__row"][0]
+    n, moments = row_count_and_moments(df, list(dict.fromkeys([*x_vars, *y_vars])))
     gaps = [c for c in [*x_vars, *y_vars] if moments[c][0] != n]
     if gaps:
         raise ValueError(f"missing values in {gaps}")
@@ -219,13 +219,21 @@ def predict(
     """Predicted outcomes in their own units: a linear combination of columns, no Python."""
     row = _model_row(models, n_components)[-1]
     coef = np.asarray(row["coef"]).reshape(len(x_vars), len(y_vars))
-    added = {}
+    added = []
     for k, y in enumerate(y_vars):
-        total = F.lit(float(row["intercept"][k]))
-        for j, x in enumerate(x_vars):
-            total = total + (F.col(x) - F.lit(float(scaling.x_mean[j]))) * F.lit(float(coef[j, k] / scaling.x_sd[j]))
-        added[f"{prefix}{y}"] = total * F.lit(float(scaling.y_sd[k])) + F.lit(float(scaling.y_mean[k]))
-    return df.withColumns(added)
+        total = weighted_sum(x_vars, scaling, coef[:, k], row["intercept"][k])
+        added.append(f"({total}) * {literal(float(scaling.y_sd[k]))} + {literal(float(scaling.y_mean[k]))} "
+                     f"AS {name(prefix + y)}")
+    return df.selectExpr("*", *added)
+
+
+def weighted_sum(x_vars: Sequence[str], scaling: Scaling, weights, constant: float = 0.0) -> str:
+    """SQL of ``constant`` plus the weighted sum of the scaled columns."""
+    terms = [
+        f"({name(x)} - {literal(float(mean))}) * {literal(float(weight / sd))}"
+        for x, mean, sd, weight in zip(x_vars, scaling.x_mean, scaling.x_sd, weights)
+    ]
+    return " + ".join([literal(float(constant)), *terms])
 
 
 def transform(
@@ -235,11 +243,8 @@ def transform(
     """X scores of the model on all rows, one column per component."""
     # The model scales with ddof 1, the scaling with ddof 0.
     shrink = np.sqrt((n_rows - 1) / n_rows)
-    added = {}
-    for row in _model_row(models, n_components):
-        total = F.lit(0.0)
-        for j, x in enumerate(x_vars):
-            weight = float(row["x_rotation"][j] * shrink / scaling.x_sd[j])
-            total = total + (F.col(x) - F.lit(float(scaling.x_mean[j]))) * F.lit(weight)
-        added[f"{prefix}{row['n_components']}"] = total
-    return df.withColumns(added)
+    return df.selectExpr("*", *[
+        weighted_sum(x_vars, scaling, np.asarray(row["x_rotation"]) * shrink)
+        + f" AS {name(prefix + str(row['n_components']))}"
+        for row in _model_row(models, n_components)
+    ])

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.constants import MAX_LEVELS, WAVE_COLUMNS
+from cohortloom.functions.text import literal, name
 from cohortloom.staging import stage
 
 # Columns per aggregate. Each batch reads only its own columns from Parquet, so several
-# batches read no more than one, and the generated code stays within its limits.
-COLUMNS_PER_BATCH = 64
+# batches read no more than one. Beyond 100 fields Spark gives up whole-stage code.
+COLUMNS_PER_BATCH = 96
 
 
 def wave_column(df: DataFrame) -> str | None:
@@ -39,31 +40,18 @@ def column_profile(
     parts = []
     for start in range(0, len(columns), COLUMNS_PER_BATCH):
         batch = columns[start:start + COLUMNS_PER_BATCH]
-        measures = [F.count(F.lit(1)).alias("n_rows")]
-        for i, c in enumerate(batch):
-            measures.append(F.count(F.col(f"`{c}`")).alias(f"v{i}"))
-            if c in numeric:
-                measures.append(F.count_if(F.col(f"`{c}`") == 0).alias(f"z{i}"))
-            if levels:
-                measures.append(F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))
-        source = df.select(*dict.fromkeys([*keys, *batch]))
+        rows = ", ".join(
+            f"struct({literal(c)} AS column_name, count(1) AS n_rows, count({name(c)}) AS n_valid, "
+            + (f"count_if({name(c)} = 0)" if c in numeric else "0L") + " AS n_zero, "
+            + (f"approx_count_distinct({name(c)})" if levels else "CAST(NULL AS BIGINT)") + " AS about_levels)"
+            for c in batch
+        )
+        source = df.select(*[name(c) for c in dict.fromkeys([*keys, *batch])])
         if group:
-            source = source.withColumn("__wave", F.col(group))
-            wide = source.groupBy("__wave").agg(*measures)
+            counted = source.groupBy(F.col(name(group)).alias("wave")).agg(F.expr(f"array({rows}) AS profile"))
+            parts.append(counted.selectExpr("wave", "inline(profile)"))
         else:
-            wide = source.agg(*measures)
-        rows = F.array(*[
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.col("n_rows"),
-                F.col(f"v{i}").alias("n_valid"),
-                (F.col(f"z{i}") if c in numeric else F.lit(0).cast("bigint")).alias("n_zero"),
-                (F.col(f"d{i}") if levels else F.lit(None).cast("bigint")).alias("about_levels"),
-            )
-            for i, c in enumerate(batch)
-        ])
-        part = wide.select(*([F.col("__wave").alias("wave")] if group else []), F.inline(rows))
-        parts.append(part)
+            parts.append(source.selectExpr(f"array({rows}) AS profile").selectExpr("inline(profile)"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -127,14 +115,14 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     value and task.
     """
     types = {f.name: f.dataType for f in df.schema}
-    rows = []
-    for c in columns:
-        value = F.col(f"`{c}`")
-        if isinstance(types[c], (T.DoubleType, T.FloatType)):
-            value = value + F.lit(0.0)  # one zero
-        rows.append(F.struct(F.lit(c).alias("column_name"), value.cast("string").alias("value")))
+    rows = ", ".join(
+        # Adding zero makes the two zeros of floating point one value.
+        f"struct({literal(c)} AS column_name, CAST({name(c)}"
+        + (" + 0D" if isinstance(types[c], (T.DoubleType, T.FloatType)) else "") + " AS STRING) AS value)"
+        for c in columns
+    )
     return (
-        df.select(F.inline(F.array(*rows)))
+        df.selectExpr(f"inline(array({rows}))")
         .where(F.col("value").isNotNull())
         .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     )

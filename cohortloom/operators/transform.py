@@ -5,30 +5,40 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cohortloom.constants import LOG2_OFFSET
-from cohortloom.functions import log2_offset, standardized
+from cohortloom.functions.text import literal, name, zscore
 from cohortloom.operators.profile import COLUMNS_PER_BATCH
 
 
+def replace_columns(df: DataFrame, changed: dict[str, str]) -> DataFrame:
+    """Projection with some columns replaced by SQL expressions."""
+    if not changed:
+        return df
+    return df.selectExpr(*[f"{changed[c]} AS {name(c)}" if c in changed else name(c) for c in df.columns])
+
+
 def log2_columns(df: DataFrame, columns: Sequence[str], offset: float = LOG2_OFFSET) -> DataFrame:
-    return df.withColumns({c: log2_offset(F.col(f"`{c}`"), offset) for c in columns}) if columns else df
+    """``log2(value + offset)``; missing where the argument is not positive."""
+    return replace_columns(df, {c: f"log2({name(c)} + {literal(offset)})" for c in columns})
 
 
-def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
-    """``{column: (n, mean, population deviation)}`` over the values present."""
-    moments = {}
-    for start in range(0, len(columns), COLUMNS_PER_BATCH):
+def row_count_and_moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, tuple]]:
+    """Number of rows and ``{column: (n, mean, population deviation)}`` over the values present."""
+    moments, n_rows = {}, 0
+    for start in range(0, max(len(columns), 1), COLUMNS_PER_BATCH):
         batch = list(columns[start:start + COLUMNS_PER_BATCH])
-        row = df.agg(*[
-            f(F.col(f"`{c}`")).alias(f"{name}{i}")
-            for i, c in enumerate(batch)
-            for name, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop))
+        row = df.selectExpr("count(1) AS n_rows", *[
+            f"{f}({name(c)}) AS {f}{i}" for i, c in enumerate(batch) for f in ("count", "avg", "stddev_pop")
         ]).first()
+        n_rows = row["n_rows"]
         for i, c in enumerate(batch):
-            moments[c] = (row[f"n{i}"], row[f"m{i}"], row[f"s{i}"])
-    return moments
+            moments[c] = (row[f"count{i}"], row[f"avg{i}"], row[f"stddev_pop{i}"])
+    return n_rows, moments
+
+
+def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    return row_count_and_moments(df, columns)[1]
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -40,10 +50,11 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not columns:
         return df
     moments = column_moments(df, columns)
-    return df.withColumns({c: standardized(F.col(f"`{c}`"), *moments[c][1:]) for c in columns})
+    return replace_columns(df, {c: zscore(name(c), *moments[c][1:]) for c in columns})
 
 
-def exposure_index(df: DataFrame, columns: Sequence[str], name: str = "exposure_index") -> DataFrame:
+def exposure_index(df: DataFrame, columns: Sequence[str], index: str = "exposure_index") -> DataFrame:
     """Sum over the columns present in a row; missing if all of them are."""
-    total = sum((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0))
-    return df.withColumn(name, F.when(F.coalesce(*[F.col(f"`{c}`").cast("double") for c in columns]).isNotNull(), total))
+    present = f"coalesce({', '.join(f'CAST({name(c)} AS DOUBLE)' for c in columns)})"
+    total = " + ".join(f"coalesce(CAST({name(c)} AS DOUBLE), 0D)" for c in columns)
+    return df.selectExpr("*", f"CASE WHEN {present} IS NOT NULL THEN {total} END AS {name(index)}")

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.constants import ID_COLUMN
-from cohortloom.functions import above_median, order_key
+from cohortloom.functions import order_key
+from cohortloom.functions.text import name
 from cohortloom.operators.folds import FoldPlan, fold_plan
 from cohortloom.operators.moments import dense
 from cohortloom.operators.pls import Scaling, check_variables, cross_products, scaling_of, solve
 from cohortloom.operators.ranks import auroc, exact_median
 from cohortloom.operators.scores import best_components, mode_components
-from cohortloom.staging import broadcast_if_small, stage
+from cohortloom.staging import stage
 
 # Cross-products that a task may hold at a time; more repetitions than fit take another pass.
 TASK_BYTES = 256 * 1024 * 1024
@@ -60,51 +61,101 @@ class CrossValidation:
                 "models": self.models, "final_model": self.final_model()}
 
 
-def _predictions(x_vars, y_vars, scaling: Scaling, plans: dict[int, FoldPlan], coefs: dict, components: list[int]):
-    """Per row and repetition: predictions of the models that did not see the row."""
-    n_y = len(y_vars)
+@dataclass
+class Cells:
+    """Numbers for evaluated folds and for the scores in them.
+
+    Fold number f stands for a (rep, outer, inner), inner 0 being the test fold of outer. The
+    scores of component count number m and outcome number k in it have the cell
+    ``(f * components + m) * outcomes + k``.
+    """
+
+    plans: dict[int, FoldPlan]
+    components: list[int]
+    n_outcomes: int
+
+    def __post_init__(self):
+        self.folds = [
+            (rep, outer, inner) for rep, plan in self.plans.items()
+            for outer in plan.inner for inner in sorted({0, *plan.inner[outer]})
+        ]
+        self.number = {fold: f for f, fold in enumerate(self.folds)}
+
+    def evaluated(self, rep: int, a: int) -> list[int]:
+        """Folds in which the rows of range a are evaluated."""
+        plan = self.plans[rep]
+        return [self.number[rep, plan.outer[a], 0]] + [
+            self.number[rep, o, inner[a]] for o, inner in plan.inner.items() if inner[a]]
+
+    def names(self, spark) -> DataFrame:
+        return spark.createDataFrame(
+            [((f * len(self.components) + m) * self.n_outcomes + k, *fold, count)
+             for f, fold in enumerate(self.folds)
+             for m, count in enumerate(self.components) for k in range(self.n_outcomes)],
+            "cell int, rep int, outer int, inner int, n_components int")
+
+
+def fold_medians(located: DataFrame, y_vars: Sequence[str], cells: Cells) -> dict[tuple[int, int], float]:
+    """Median of each outcome in each evaluated fold, ``{(fold number, outcome number): median}``."""
+    rows = []
+    for rep, plan in cells.plans.items():
+        lists = ", ".join(
+            "array(" + ", ".join(map(str, cells.evaluated(rep, a))) + ")" for a in range(len(plan.outer)))
+        rows.append(f"element_at(array({lists}), __range{rep} + 1)")
+    values = ", ".join(f"struct({k} AS outcome, CAST({name(y)} AS DOUBLE) AS y)" for k, y in enumerate(y_vars))
+    long = located.selectExpr(f"explode(concat({', '.join(rows)})) AS fold", f"array({values}) AS ys").selectExpr(
+        "fold", "inline(ys)")
+    medians = exact_median(long, ["fold", "outcome"], "y", staged=True)
+    return {(r["fold"], r["outcome"]): r["median"] for r in medians.collect()}
+
+
+def _scores(x_vars, y_vars, scaling: Scaling, cells: Cells, coefs: dict, medians: dict):
+    """Per row: label and score for each model that did not see the row."""
+    n_y, n_m = len(y_vars), len(cells.components)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = (dense(batch, x_vars) - scaling.x_mean) / scaling.x_sd
-            y = (dense(batch, y_vars) - scaling.y_mean) / scaling.y_sd
-            parts: dict[str, list] = {"rep": [], "outer": [], "inner": [], "n_components": [], "outcome": [],
-                                      "y": [], "score": []}
-            for rep, plan in plans.items():
+            y = dense(batch, y_vars)
+            found: list[tuple] = []
+            for rep in cells.plans:
                 ranges = batch.column(f"__range{rep}").to_numpy(zero_copy_only=False)
                 for a in np.unique(ranges):
-                    rows = ranges == a
+                    rows = np.flatnonzero(ranges == a)
                     xa, ya = x[rows], y[rows]
-                    seen_by = [(plan.outer[a], 0)] + [(o, folds[a]) for o, folds in plan.inner.items() if folds[a]]
-                    for outer, inner in seen_by:
-                        for m in components:
-                            coef, intercept = coefs[rep, outer, inner, m]
-                            # Beyond nine digits lies noise of the matrix product, which must
-                            # not part rows with equal values.
-                            scores = np.round(xa @ coef + intercept, 9)
-                            size = scores.size
-                            parts["rep"].append(np.full(size, rep, np.int32))
-                            parts["outer"].append(np.full(size, outer, np.int32))
-                            parts["inner"].append(np.full(size, inner, np.int32))
-                            parts["n_components"].append(np.full(size, m, np.int32))
-                            parts["outcome"].append(np.tile(np.arange(n_y, dtype=np.int32), len(xa)))
-                            parts["y"].append(ya.ravel())
-                            parts["score"].append(scores.ravel())
-            if parts["y"]:
+                    for fold in cells.evaluated(rep, int(a)):
+                        middle = np.array([medians[fold, k] for k in range(n_y)])
+                        label = np.tile((ya > middle).astype(np.int8), (1, n_m))
+                        coef, intercept = coefs[fold]
+                        # Beyond nine digits lies noise of the matrix product, which must
+                        # not part rows with equal values.
+                        score = np.round(xa @ coef + intercept, 9)
+                        first = fold * n_m * n_y
+                        cell = np.tile(np.arange(first, first + n_m * n_y, dtype=np.int32), (len(rows), 1))
+                        found.append((cell.ravel(), label.ravel(), score.ravel()))
+            if found:
+                cell, label, score = (np.concatenate(part) for part in zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(v)) for v in parts.values()], names=list(parts))
+                    [pa.array(cell), pa.array(label), pa.array(score)], names=["cell", "label", "score"])
 
     return run
 
 
-def _coefficients(models: DataFrame, n_x: int, n_y: int, components: Sequence[int]) -> dict:
-    """Coefficients by model: columns x folds x components, independent of the row count."""
-    wanted = models.where((F.col("outer") > 0) & F.col("n_components").isin(*components))
-    return {
+def _coefficients(models: DataFrame, n_x: int, n_y: int, cells: Cells) -> dict:
+    """Per evaluated fold the coefficients of all component counts side by side.
+
+    Their size depends on columns, folds and components, not on the number of rows.
+    """
+    wanted = models.where((F.col("outer") > 0) & F.col("n_components").isin(*cells.components))
+    by_model = {
         (r["rep"], r["outer"], r["inner"], r["n_components"]):
             (np.asarray(r["coef"]).reshape(n_x, n_y), np.asarray(r["intercept"]))
         for r in wanted.select("rep", "outer", "inner", "n_components", "coef", "intercept").collect()
     }
+    return {
+        f: tuple(np.concatenate([by_model[(*fold, m)][part] for m in cells.components], axis=-1) for part in (0, 1))
+        for f, fold in enumerate(cells.folds)
+    }
 
 
 def run_plsr_cv(
@@ -124,23 +175,26 @@ def run_plsr_cv(
     The folds of a repetition cut the key order into short ranges; the cross-products of each
     range are summed in one pass and every training set is a sum of ranges, so that the cost
     of the fits does not grow with the number of folds. A second pass scores each row with the
-    models that did not see it.
+    models that did not see it. An outcome's label is whether it lies above its median in the
+    evaluated fold.
     """
     components = sorted(n_components_range or range(1, 6))
     x_vars = list(dict.fromkeys([*exposure_vars, *covariates]))
     y_vars = list(outcome_vars)
     check_variables(df, x_vars, y_vars)
-    scaling = scaling_of(df, x_vars, y_vars)
+    base = stage(df.select(*dict.fromkeys([id_column, *x_vars, *y_vars])), "base")
+    scaling = scaling_of(base, x_vars, y_vars)
     n_x, n_y = len(x_vars), len(y_vars)
 
     plans = {
-        rep: fold_plan(df, outer_folds, inner_folds, seed + rep - 1, id_column)
+        rep: fold_plan(base, outer_folds, inner_folds, seed + rep - 1, id_column)
         for rep in range(1, n_repetitions + 1)
     }
-    located = df.select(
+    # Read several times below, so the ranges are worked out once.
+    located = stage(base.select(
         *dict.fromkeys([*x_vars, *y_vars]),
         *[plan.range_of(order_key(plan.seed, F.col(id_column))).alias(f"__range{rep}")
-          for rep, plan in plans.items()])
+          for rep, plan in plans.items()]), "located")
 
     per_repetition = max(len(plan.outer) for plan in plans.values()) * (1 + n_x + n_y) ** 2 * 8
     at_once = max(1, TASK_BYTES // per_repetition)
@@ -151,11 +205,16 @@ def run_plsr_cv(
         models = stage(
             solve(products, n_x, n_y, max(components),
                   {rep: (plan.outer, plan.inner) for rep, plan in reps.items()}), "models")
-        coefs = _coefficients(models, n_x, n_y, components)
-        scored = located.mapInArrow(
-            _predictions(x_vars, y_vars, scaling, reps, coefs, components),
-            "rep int, outer int, inner int, n_components int, outcome int, y double, score double")
-        parts.append((models, fold_scores(scored, components[0])))
+        cells = Cells(reps, components, n_y)
+        coefs = _coefficients(models, n_x, n_y, cells)
+        medians = fold_medians(located, y_vars, cells)
+        scored = stage(located.mapInArrow(
+            _scores(x_vars, y_vars, scaling, cells, coefs, medians),
+            "cell int, label tinyint, score double"), "scored")
+        by_cell = auroc(scored, ["cell"], staged=True).join(F.broadcast(cells.names(df.sparkSession)), "cell")
+        parts.append((models, stage(
+            by_cell.groupBy("rep", "outer", "inner", "n_components").agg(F.avg("auroc").alias("auroc")),
+            "fold-scores")))
     models = reduce(DataFrame.unionByName, [m for m, _ in parts])
     scores = reduce(DataFrame.unionByName, [s for _, s in parts])
 
@@ -167,19 +226,3 @@ def run_plsr_cv(
     )
     final = mode_components(chosen).first()["n_components"]
     return CrossValidation(inner_scores, outer_scores, chosen, models, final, x_vars, y_vars, scaling)
-
-
-def fold_scores(scored: DataFrame, first_component: int) -> DataFrame:
-    """AUROC per evaluated fold and component count, the mean over the outcomes.
-
-    An outcome's label is whether it lies above its median in the evaluated fold.
-    """
-    scored = stage(scored, "scored")
-    fold = ["rep", "outer", "inner", "outcome"]
-    medians = exact_median(scored.where(F.col("n_components") == first_component), fold, "y")
-    labelled = scored.join(broadcast_if_small(stage(medians, "medians")), fold).select(
-        *fold, "n_components", above_median(F.col("y"), F.col("median")).alias("label"), "score")
-    by_outcome = auroc(labelled, [*fold, "n_components"])
-    return stage(
-        by_outcome.groupBy("rep", "outer", "inner", "n_components").agg(F.avg("auroc").alias("auroc")),
-        "fold-scores")

@@ -12,13 +12,20 @@ from cohortloom.staging import broadcast_if_small, stage
 ROWS_PER_KEY = 100_000
 
 
-def crowded_keys(left: DataFrame, on: Sequence[str], rows_per_key: int = ROWS_PER_KEY) -> DataFrame | None:
-    """Keys with more rows than ``rows_per_key`` and how often to divide them; None without any."""
-    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_key)
-    crowded = stage(counted.select(*on, F.ceil(F.col("n") / rows_per_key).cast("int").alias("__parts")), "crowded")
+def crowded_counts(counted: DataFrame, on: Sequence[str], rows_per_key: int = ROWS_PER_KEY) -> DataFrame | None:
+    """Keys whose count ``n`` exceeds the bound and how often to divide them; None without any."""
+    over = counted.where(F.col("n") > rows_per_key)
+    crowded = stage(over.select(*on, F.ceil(F.col("n") / rows_per_key).cast("int").alias("__parts")), "crowded")
     return None if crowded.isEmpty() else broadcast_if_small(crowded)
 
 
+def crowded_keys(left: DataFrame, on: Sequence[str], rows_per_key: int = ROWS_PER_KEY) -> DataFrame | None:
+    """The same for the rows of a table, which should be staged."""
+    if left.count() <= rows_per_key:
+        return None
+    return crowded_counts(left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), on, rows_per_key)
+
+
 def divided_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: str, crowded: DataFrame | None
 ) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A group (a fold, a dataset) may hold a large part of all rows. Large inputs are therefore cut
 into value ranges, each range is summed in its own window partition, and the sums of the
-ranges before it are added.
+ranges before it are added. The input is read more than once; tables that are not cheap to
+read again are staged, unless ``staged`` says that this has been done.
 """
 
 from __future__ import annotations
@@ -17,37 +18,46 @@ from pyspark.sql import functions as F
 from cohortloom.functions import order_key
 from cohortloom.staging import broadcast_if_small, stage
 
-ROWS_PER_RANGE = 500_000
+ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 2_000
+# A range with so many times the usual rows holds a value that many rows share.
+CROWDED = 4
 TIE_DIGITS = 3
 
 
 def _value_ranges(df: DataFrame, order: str, n_rows: int, rows_per_range: int) -> DataFrame:
     """Add ``__range``: the position of the value between approximate quantiles."""
     count = min(MAX_RANGES, ceil(n_rows / rows_per_range))
-    shares = F.array(*[F.lit(i / count) for i in range(1, count)])
+    shares = F.expr("array(" + ", ".join(f"{i / count!r}D" for i in range(1, count)) + ")")
     quantiles = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, F.lit(20 * count))).first()[0]
     cuts = [-inf, *sorted(set(quantiles)), inf]
-    bucketizer = Bucketizer(splits=cuts, inputCol="__value", outputCol="__range")
-    return bucketizer.transform(df.withColumn("__value", F.col(order).cast("double"))).drop("__value")
+    bucketizer = Bucketizer(splits=cuts, inputCol="__value", outputCol="__position")
+    ranged = bucketizer.transform(df.withColumn("__value", F.col(order).cast("double")))
+    return ranged.withColumn("__range", F.col("__position").cast("int")).drop("__value", "__position")
 
 
-def _totals_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """``before_*`` within value ranges plus the totals of the ranges before."""
-    local = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = stage(
-        df.groupBy(*keys, "__range").agg(*[F.sum(m).alias(f"__sum_{m}") for m in measures]), "ranges")
+def _range_totals(ranged: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> tuple[DataFrame, int]:
+    """``__offset_*``: sums of the ranges before, per key; and the rows of the fullest range."""
+    sums = stage(
+        ranged.groupBy(*keys, "__range").agg(
+            F.count(F.lit(1)).alias("__rows"), *[F.sum(m).alias(f"__sum_{m}") for m in measures]), "ranges")
     # At most MAX_RANGES rows per key meet in this window.
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select(
+    offsets = sums.select(
         *keys, "__range",
         *[F.coalesce(F.sum(f"__sum_{m}").over(earlier), F.lit(0)).alias(f"__offset_{m}") for m in measures])
-    located = df.select(
-        "*", *[F.coalesce(F.sum(m).over(local), F.lit(0)).alias(f"__local_{m}") for m in measures])
-    joined = located.join(broadcast_if_small(offsets), [*keys, "__range"])
-    helpers = ["__range", *[f"__{kind}_{m}" for m in measures for kind in ("local", "offset")]]
-    return joined.withColumns(
-        {f"before_{m}": F.col(f"__local_{m}") + F.col(f"__offset_{m}") for m in measures}).drop(*helpers)
+    return offsets, sums.agg(F.max("__rows")).first()[0] or 0
+
+
+def _add_before(
+    ranged: DataFrame, offsets: DataFrame, keys: Sequence[str], order: Sequence, measures: Sequence[str]
+) -> DataFrame:
+    """``before_*`` within the value range plus the sums of the ranges before."""
+    local = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    located = ranged.join(broadcast_if_small(offsets), [*keys, "__range"])
+    return located.withColumns({
+        f"before_{m}": F.coalesce(F.sum(m).over(local), F.lit(0)) + F.col(f"__offset_{m}") for m in measures
+    }).drop("__range", *[f"__offset_{m}" for m in measures])
 
 
 def running_totals(
@@ -58,6 +68,7 @@ def running_totals(
     tie: str | None = None,
     seed: int = 0,
     rows_per_range: int = ROWS_PER_RANGE,
+    staged: bool = False,
 ) -> DataFrame:
     """Add ``before_<m>``: the sum of each measure over the rows of the key that sort earlier.
 
@@ -66,19 +77,26 @@ def running_totals(
     shared by many rows is divided by that hash.
     """
     keys = list(keys)
-    staged = stage(df, "ordered")
-    n_rows = staged.count()
+    data = df if staged else stage(df, "ordered")
+    n_rows = data.count()
     ties = [order_key(seed, F.col(tie)), F.col(tie)] if tie else []
     if n_rows <= rows_per_range:
         before = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
-        return staged.withColumns(
+        return data.withColumns(
             {f"before_{m}": F.coalesce(F.sum(m).over(before), F.lit(0)) for m in measures})
-    if not tie:
-        return _totals_before(_value_ranges(staged, order, n_rows, rows_per_range), keys, [order], measures)
-    parted = staged.withColumn("__hash", ties[0]).withColumn("__part", F.substring("__hash", 1, TIE_DIGITS))
+    ranged = _value_ranges(data, order, n_rows, rows_per_range)
+    offsets, fullest = _range_totals(ranged, keys, measures)
+    if not tie or fullest <= CROWDED * rows_per_range:
+        return _add_before(ranged, offsets, keys, [order, *ties], measures)
+
+    # Rows of equal value are first counted by parts of their hash, the parts put in order,
+    # and the rows then within their part.
+    parted = data.withColumn("__hash", ties[0]).withColumn("__part", F.substring("__hash", 1, TIE_DIGITS))
     groups = [*keys, order, "__part"]
     sums = stage(parted.groupBy(*groups).agg(*[F.sum(m).alias(m) for m in measures]), "parts")
-    placed = _totals_before(_value_ranges(sums, order, n_rows, rows_per_range), keys, [order, "__part"], measures)
+    part_ranges = _value_ranges(sums, order, n_rows, rows_per_range)
+    offsets, _ = _range_totals(part_ranges, keys, measures)
+    placed = _add_before(part_ranges, offsets, keys, [order, "__part"], measures)
     within = Window.partitionBy(*groups).orderBy("__hash", tie).rowsBetween(Window.unboundedPreceding, -1)
     located = parted.withColumns(
         {f"__in_{m}": F.coalesce(F.sum(m).over(within), F.lit(0)) for m in measures})
@@ -88,26 +106,57 @@ def running_totals(
     ).drop("__hash", "__part", *[f"__in_{m}" for m in measures])
 
 
+def _middle_of(counts: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Median from ``(keys, value, n, before_n, total)``."""
+    def at(position):
+        holds = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
+        return F.max(F.when(holds, F.col(value)))
+
+    first, second = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    return counts.groupBy(*keys).agg(((at(first) + at(second)) / 2).alias(name))
+
+
 def exact_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", rows_per_range: int = ROWS_PER_RANGE
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str = "median",
+    rows_per_range: int = ROWS_PER_RANGE,
+    staged: bool = False,
 ) -> DataFrame:
-    """Exact median per key: the mean of the two middle values when their number is even."""
+    """Exact median per key: the mean of the two middle values when their number is even.
+
+    On large inputs approximate quantiles bracket the middle; the values below are counted
+    and only those within the bracket are put in order. The counts prove the bracket right,
+    else all values are put in order.
+    """
+    keys = list(keys)
     if not keys:
-        whole = exact_median(df.withColumn("__all", F.lit(0)), ["__all"], value, name, rows_per_range)
+        whole = exact_median(df.withColumn("__all", F.lit(0)), ["__all"], value, name, rows_per_range, staged)
         return whole.drop("__all")
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    data = df.where(F.col(value).isNotNull()).select(*keys, value)
+    data = data if staged else stage(data, "values")
+    if data.count() > rows_per_range:
+        bracket = stage(data.groupBy(*keys).agg(
+            F.percentile_approx(value, F.array(F.lit(0.48), F.lit(0.52)), F.lit(200)).alias("__q"),
+            F.count(F.lit(1)).alias("total")), "brackets")
+        known = data.join(broadcast_if_small(bracket), keys)
+        low, high = F.col("__q")[0], F.col("__q")[1]
+        outside = stage(known.groupBy(*keys).agg(
+            F.count_if(F.col(value) < low).alias("below"), F.count_if(F.col(value) <= high).alias("reached"),
+            F.first("total").alias("total")), "outside")
+        missed = (F.col("below") > F.floor((F.col("total") - 1) / 2)) | (
+            F.col("reached") <= F.floor(F.col("total") / 2))
+        if outside.where(missed).isEmpty():
+            inside = known.where((F.col(value) >= low) & (F.col(value) <= high)).groupBy(*keys, value).agg(
+                F.count(F.lit(1)).alias("n"))
+            placed = running_totals(inside, keys, value, ["n"], rows_per_range=rows_per_range)
+            placed = placed.join(broadcast_if_small(outside), keys)
+            return _middle_of(placed.withColumn("before_n", F.col("before_n") + F.col("below")), keys, value, name)
+    counts = data.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     placed = running_totals(counts, keys, value, ["n"], rows_per_range=rows_per_range)
     sizes = placed.groupBy(*keys).agg(F.sum("n").alias("total"))
-    middle = placed.join(broadcast_if_small(sizes), keys)
-    first = F.floor((F.col("total") - 1) / 2)
-    second = F.floor(F.col("total") / 2)
-
-    def holds(position):
-        return (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
-
-    return middle.groupBy(*keys).agg(
-        ((F.max(F.when(holds(first), F.col(value))) + F.max(F.when(holds(second), F.col(value)))) / 2).alias(name))
+    return _middle_of(placed.join(broadcast_if_small(sizes), keys), keys, value, name)
 
 
 def auroc(
@@ -116,21 +165,41 @@ def auroc(
     label: str = "label",
     score: str = "score",
     rows_per_range: int = ROWS_PER_RANGE,
+    staged: bool = False,
 ) -> DataFrame:
     """Area under the ROC curve per key; tied scores count half, a single class gives 0.5.
 
-    Rows with equal scores meet before they are put in order, so that the order is over
-    distinct scores.
+    One shuffle by key and score range. If many rows share a score, equal scores are counted
+    together before.
     """
-    if not keys:
-        return auroc(df.withColumn("__all", F.lit(0)), ["__all"], label, score, rows_per_range).drop("__all")
     keys = list(keys)
-    counts = df.groupBy(*keys, score).agg(
-        F.sum(F.col(label).cast("bigint")).alias("pos"),
-        F.sum((1 - F.col(label)).cast("bigint")).alias("neg"))
-    placed = running_totals(counts, keys, score, ["neg"], rows_per_range=rows_per_range)
-    wins = F.col("pos") * (F.col("before_neg") + F.col("neg") / F.lit(2.0))
-    return placed.groupBy(*keys).agg(
-        F.coalesce(
-            F.try_divide(F.sum(wins), F.sum("pos").cast("double") * F.sum("neg").cast("double")), F.lit(0.5)
-        ).alias("auroc"))
+    if not keys:
+        whole = auroc(df.withColumn("__all", F.lit(0)), ["__all"], label, score, rows_per_range, staged)
+        return whole.drop("__all")
+    positive = F.col(label).cast("bigint")
+    data = df.select(*keys, F.col(score), positive.alias("pos"), (1 - positive).alias("neg"))
+    data = data if staged else stage(data, "scored")
+    n_rows = data.count()
+    offset = F.lit(0)
+    if n_rows <= rows_per_range:
+        ranged, parts = data, keys
+    else:
+        ranged, parts = _value_ranges(data, score, n_rows, rows_per_range), [*keys, "__range"]
+        offsets, fullest = _range_totals(ranged, keys, ["neg"])
+        if fullest > CROWDED * rows_per_range:
+            counts = data.groupBy(*keys, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            placed = running_totals(counts, keys, score, ["neg"], rows_per_range=rows_per_range)
+            return _area(placed, keys, F.col("before_neg") + F.col("neg") / F.lit(2.0))
+        ranged = ranged.join(broadcast_if_small(offsets), parts)
+        offset = F.col("__offset_neg")
+    by_score = Window.partitionBy(*parts).orderBy(score)
+    up_to = F.sum("neg").over(by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum("neg").over(by_score.rangeBetween(Window.currentRow, Window.currentRow))
+    beaten = ranged.withColumn("beaten", offset + up_to - equal / F.lit(2.0))
+    return _area(beaten, keys, F.col("beaten"))
+
+
+def _area(df: DataFrame, keys: Sequence[str], beaten) -> DataFrame:
+    wins = F.sum(F.col("pos") * beaten)
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return df.groupBy(*keys).agg(F.coalesce(F.try_divide(wins, pairs), F.lit(0.5)).alias("auroc"))

@@ -138,8 +138,7 @@ def explained_variance(spark, sf_dir):
 
 
 def _one_component_cv(spark, sf_dir):
-    panel = stage(measure_panel(spark, sf_dir), "measures")
-    return run_plsr_cv(panel, X_VARS, ["y_price"], COVARIATES, [1], 8, 7, seed=42)
+    return run_plsr_cv(measure_panel(spark, sf_dir), X_VARS, ["y_price"], COVARIATES, [1], 8, 7, seed=42)
 
 
 def pls_cv_inner(spark, sf_dir):
@@ -151,8 +150,7 @@ def pls_cv_outer(spark, sf_dir):
 
 
 def _full_cv(spark, sf_dir):
-    panel = stage(measure_panel(spark, sf_dir), "measures")
-    return run_plsr_cv(panel, X_VARS, ["y_price", "y_total"], COVARIATES, [1, 2, 3], 8, 7, n_repetitions=2)
+    return run_plsr_cv(measure_panel(spark, sf_dir), X_VARS, ["y_price", "y_total"], COVARIATES, [1, 2, 3], 8, 7, n_repetitions=2)
 
 
 def pls_cv(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.staging import broadcast_if_small, stage
 
-ROWS_PER_KEY = 100_000
+ROWS_PER_KEY = 500_000
 
 
 def crowded_counts(counted: DataFrame, on: Sequence[str], rows_per_key: int = ROWS_PER_KEY) -> DataFrame | None:

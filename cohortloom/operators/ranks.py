@@ -20,17 +20,24 @@ from cohortloom.staging import broadcast_if_small, stage
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 2_000
+ROWS_PER_BOUNDARY = 5_000
 # A range with so many times the usual rows holds a value that many rows share.
 CROWDED = 4
 TIE_DIGITS = 3
 
 
 def _value_ranges(df: DataFrame, order: str, n_rows: int, rows_per_range: int) -> DataFrame:
-    """Add ``__range``: the position of the value between approximate quantiles."""
+    """Add ``__range``: the position of the value between approximate quantiles.
+
+    Any boundaries give the same result, they only balance the ranges; so a share of the rows
+    is enough to find them.
+    """
     count = min(MAX_RANGES, ceil(n_rows / rows_per_range))
     shares = F.expr("array(" + ", ".join(f"{i / count!r}D" for i in range(1, count)) + ")")
-    quantiles = df.agg(F.percentile_approx(F.col(order).cast("double"), shares, F.lit(20 * count))).first()[0]
-    cuts = [-inf, *sorted(set(quantiles)), inf]
+    looked_at = df.sample(fraction=min(1.0, ROWS_PER_BOUNDARY * count / n_rows), seed=7)
+    quantiles = looked_at.agg(
+        F.percentile_approx(F.col(order).cast("double"), shares, F.lit(20 * count))).first()[0]
+    cuts = [-inf, *sorted(set(quantiles or [])), inf]
     bucketizer = Bucketizer(splits=cuts, inputCol="__value", outputCol="__position")
     ranged = bucketizer.transform(df.withColumn("__value", F.col(order).cast("double")))
     return ranged.withColumn("__range", F.col("__position").cast("int")).drop("__value", "__position")
@@ -123,12 +130,13 @@ def exact_median(
     name: str = "median",
     rows_per_range: int = ROWS_PER_RANGE,
     staged: bool = False,
+    brackets: DataFrame | None = None,
 ) -> DataFrame:
     """Exact median per key: the mean of the two middle values when their number is even.
 
     On large inputs approximate quantiles bracket the middle; the values below are counted
     and only those within the bracket are put in order. The counts prove the bracket right,
-    else all values are put in order.
+    else all values are put in order. ``brackets`` (keys, low, high) may be given.
     """
     keys = list(keys)
     if not keys:
@@ -137,18 +145,19 @@ def exact_median(
     data = df.where(F.col(value).isNotNull()).select(*keys, value)
     data = data if staged else stage(data, "values")
     if data.count() > rows_per_range:
-        bracket = stage(data.groupBy(*keys).agg(
-            F.percentile_approx(value, F.array(F.lit(0.48), F.lit(0.52)), F.lit(200)).alias("__q"),
-            F.count(F.lit(1)).alias("total")), "brackets")
-        known = data.join(broadcast_if_small(bracket), keys)
-        low, high = F.col("__q")[0], F.col("__q")[1]
+        if brackets is None:
+            quantiles = F.percentile_approx(value, F.array(F.lit(0.48), F.lit(0.52)), F.lit(200))
+            brackets = stage(data.groupBy(*keys).agg(quantiles.alias("q")), "brackets").select(
+                *keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+        known = data.join(broadcast_if_small(brackets), keys)
         outside = stage(known.groupBy(*keys).agg(
-            F.count_if(F.col(value) < low).alias("below"), F.count_if(F.col(value) <= high).alias("reached"),
-            F.first("total").alias("total")), "outside")
+            F.count_if(F.col(value) < F.col("low")).alias("below"),
+            F.count_if(F.col(value) <= F.col("high")).alias("reached"),
+            F.count(F.lit(1)).alias("total")), "outside")
         missed = (F.col("below") > F.floor((F.col("total") - 1) / 2)) | (
             F.col("reached") <= F.floor(F.col("total") / 2))
         if outside.where(missed).isEmpty():
-            inside = known.where((F.col(value) >= low) & (F.col(value) <= high)).groupBy(*keys, value).agg(
+            inside = known.where(F.col(value).between(F.col("low"), F.col("high"))).groupBy(*keys, value).agg(
                 F.count(F.lit(1)).alias("n"))
             placed = running_totals(inside, keys, value, ["n"], rows_per_range=rows_per_range)
             placed = placed.join(broadcast_if_small(outside), keys)
@@ -176,30 +185,38 @@ def auroc(
     if not keys:
         whole = auroc(df.withColumn("__all", F.lit(0)), ["__all"], label, score, rows_per_range, staged)
         return whole.drop("__all")
-    positive = F.col(label).cast("bigint")
-    data = df.select(*keys, F.col(score), positive.alias("pos"), (1 - positive).alias("neg"))
+    data = df.select(*keys, F.col(score), F.col(label).cast("tinyint").alias("pos"))
     data = data if staged else stage(data, "scored")
+    negative = (1 - F.col("pos")).cast("bigint")
     n_rows = data.count()
-    offset = F.lit(0)
     if n_rows <= rows_per_range:
-        ranged, parts = data, keys
+        ranged = data.withColumn("__range", F.lit(0))
+        offsets = None
     else:
-        ranged, parts = _value_ranges(data, score, n_rows, rows_per_range), [*keys, "__range"]
-        offsets, fullest = _range_totals(ranged, keys, ["neg"])
+        ranged = _value_ranges(data, score, n_rows, rows_per_range)
+        offsets, fullest = _range_totals(ranged.withColumn("neg", negative), keys, ["neg"])
         if fullest > CROWDED * rows_per_range:
-            counts = data.groupBy(*keys, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            counts = data.groupBy(*keys, score).agg(
+                F.sum("pos").alias("pos"), F.sum(negative).alias("neg"))
             placed = running_totals(counts, keys, score, ["neg"], rows_per_range=rows_per_range)
-            return _area(placed, keys, F.col("before_neg") + F.col("neg") / F.lit(2.0))
-        ranged = ranged.join(broadcast_if_small(offsets), parts)
-        offset = F.col("__offset_neg")
+            beaten = F.col("before_neg") + F.col("neg") / F.lit(2.0)
+            return _area(placed.select(
+                *keys, (F.col("pos") * beaten).alias("wins"), "pos", "neg"), keys)
+    parts = [*keys, "__range"]
     by_score = Window.partitionBy(*parts).orderBy(score)
-    up_to = F.sum("neg").over(by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    equal = F.sum("neg").over(by_score.rangeBetween(Window.currentRow, Window.currentRow))
-    beaten = ranged.withColumn("beaten", offset + up_to - equal / F.lit(2.0))
-    return _area(beaten, keys, F.col("beaten"))
-
-
-def _area(df: DataFrame, keys: Sequence[str], beaten) -> DataFrame:
-    wins = F.sum(F.col("pos") * beaten)
+    up_to = F.sum(negative).over(by_score.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum(negative).over(by_score.rangeBetween(Window.currentRow, Window.currentRow))
+    within = ranged.withColumn("beaten", up_to - equal / F.lit(2.0)).groupBy(*parts).agg(
+        F.sum(F.col("pos") * F.col("beaten")).alias("wins"), F.sum("pos").alias("pos"),
+        F.sum(negative).alias("neg"))
+    if offsets is not None:
+        # Each positive of a range also beats the negatives of all ranges before.
+        within = within.join(offsets, parts).withColumn("wins", F.col("wins") + F.col("pos") * F.col("__offset_neg"))
+    return _area(within, keys)
+
+
+def _area(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Wins of positives over negatives, as a share of the pairs."""
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    return df.groupBy(*keys).agg(F.coalesce(F.try_divide(wins, pairs), F.lit(0.5)).alias("auroc"))
+    return sums.groupBy(*keys).agg(
+        F.coalesce(F.try_divide(F.sum("wins").cast("double"), pairs), F.lit(0.5)).alias("auroc"))

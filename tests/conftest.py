@@ -15,8 +15,8 @@ for folder in (ROOT, os.path.join(ROOT, "tests")):
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master("local[8]").appName("cohortloom-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[4]").appName("cohortloom-tests")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")

@@ -57,24 +57,24 @@ def _scores(spark, sf_dir):
     return survey_panel(spark, sf_dir).groupBy(
         F.col("Cycle").alias("rep"), F.col("x_prio").alias("outer"), F.col("cov_nation").alias("inner"),
         (F.col("cov_nation") % 5 + 1).alias("n_components"),
-    ).agg(F.round(F.avg("x_gap"), 6).alias("auroc"))
+    ).agg(F.round(F.avg("x_gap"), 10).alias("auroc"))
 
 
 def score_summary(spark, sf_dir):
     table = scores.score_summary(_scores(spark, sf_dir), ["n_components"])
-    return table.select("n_components", F.round("mean_score", 6).alias("mean_score"),
-                        F.round("std_score", 6).alias("std_score"), "n")
+    return table.select("n_components", F.round("mean_score", 10).alias("mean_score"),
+                        F.round("std_score", 9).alias("std_score"), "n")
 
 
 def score_summary_by_fold(spark, sf_dir):
     table = scores.score_summary(_scores(spark, sf_dir), ["outer"])
-    return table.select("outer", F.round("mean_score", 6).alias("mean_score"),
-                        F.round("std_score", 6).alias("std_score"), "n")
+    return table.select("outer", F.round("mean_score", 10).alias("mean_score"),
+                        F.round("std_score", 9).alias("std_score"), "n")
 
 
 def best_components(spark, sf_dir):
     return scores.best_components(_scores(spark, sf_dir).where(F.col("auroc").isNotNull())).withColumn(
-        "mean_score", F.round("mean_score", 6))
+        "mean_score", F.round("mean_score", 10))
 
 
 def component_frequency(spark, sf_dir):
@@ -190,7 +190,7 @@ def _auroc(source: str, keys: str) -> str:
 
 
 _SCORES = """scores AS (SELECT "Cycle" AS rep, x_prio AS "outer", cov_nation AS "inner",
-    (cov_nation % 5 + 1)::INTEGER AS n_components, ROUND(AVG(x_gap), 6) AS auroc FROM panel GROUP BY ALL)"""
+    (cov_nation % 5 + 1)::INTEGER AS n_components, ROUND(AVG(x_gap), 10) AS auroc FROM panel GROUP BY ALL)"""
 _CHOSEN = """chosen AS (SELECT rep, "outer", n_components, mean_score FROM (
     SELECT *, ROW_NUMBER() OVER (PARTITION BY rep, "outer" ORDER BY mean_score DESC, n_components) AS place FROM (
       SELECT rep, "outer", n_components, ROUND(AVG(auroc), 12) AS mean_score FROM scores WHERE auroc IS NOT NULL
@@ -249,12 +249,12 @@ ORACLES = {
            x_qty AS score FROM mpanel JOIN folded USING (sample))"""),
     "auroc_by_language": "WITH labelled AS (SELECT lang, quality AS label, n_chars AS score FROM labels "
                          "JOIN documents USING (doc_id)) " + _auroc("labelled", "lang"),
-    "score_summary": with_panel("""SELECT n_components, ROUND(AVG(auroc), 6) AS mean_score,
-        ROUND(STDDEV_POP(auroc), 6) AS std_score, COUNT(auroc) AS n FROM scores GROUP BY n_components""", _SCORES),
-    "score_summary_by_fold": with_panel("""SELECT "outer", ROUND(AVG(auroc), 6) AS mean_score,
-        ROUND(STDDEV_POP(auroc), 6) AS std_score, COUNT(auroc) AS n FROM scores GROUP BY "outer" """, _SCORES),
+    "score_summary": with_panel("""SELECT n_components, ROUND(AVG(auroc), 10) AS mean_score,
+        ROUND(STDDEV_POP(auroc), 9) AS std_score, COUNT(auroc) AS n FROM scores GROUP BY n_components""", _SCORES),
+    "score_summary_by_fold": with_panel("""SELECT "outer", ROUND(AVG(auroc), 10) AS mean_score,
+        ROUND(STDDEV_POP(auroc), 9) AS std_score, COUNT(auroc) AS n FROM scores GROUP BY "outer" """, _SCORES),
     "best_components": with_panel(
-        'SELECT rep, "outer", n_components, ROUND(mean_score, 6) AS mean_score FROM chosen', _SCORES, _CHOSEN),
+        'SELECT rep, "outer", n_components, ROUND(mean_score, 10) AS mean_score FROM chosen', _SCORES, _CHOSEN),
     "component_frequency": with_panel("""SELECT n_components, COUNT(*) AS n, MIN(rep) AS first_rep,
         arg_min("outer", rep * 1000 + "outer") AS first_outer FROM chosen GROUP BY n_components""", _SCORES, _CHOSEN),
     "mode_components": with_panel("""SELECT n_components, COUNT(*) AS n FROM chosen GROUP BY n_components

@@ -19,7 +19,7 @@ from cohortloom.operators.moments import dense
 from cohortloom.operators.pls import Scaling, check_variables, cross_products, scaling_of, solve
 from cohortloom.operators.ranks import auroc, exact_median
 from cohortloom.operators.scores import best_components, mode_components
-from cohortloom.staging import stage
+from cohortloom.staging import discard, stage
 
 # Cross-products that a task may hold at a time; more repetitions than fit take another pass.
 TASK_BYTES = 256 * 1024 * 1024
@@ -220,9 +220,12 @@ def run_plsr_cv(
             _scores(x_vars, y_vars, scaling, cells, coefs, medians),
             "cell int, label tinyint, score double"), "scored")
         by_cell = auroc(scored, ["cell"], staged=True).join(F.broadcast(cells.names(df.sparkSession)), "cell")
-        parts.append((models, stage(
+        fold_scores = stage(
             by_cell.groupBy("rep", "outer", "inner", "n_components").agg(F.avg("auroc").alias("auroc")),
-            "fold-scores")))
+            "fold-scores")
+        discard(scored)
+        parts.append((models, fold_scores))
+    discard(base, located)
     models = reduce(DataFrame.unionByName, [m for m, _ in parts])
     scores = reduce(DataFrame.unionByName, [s for _, s in parts])
 

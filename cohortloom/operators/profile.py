@@ -30,7 +30,7 @@ def column_profile(
 ) -> DataFrame:
     """Long profile ``(group, column_name, n_rows, n_valid, n_zero, about_levels)``.
 
-    ``about_levels`` (with ``levels=True``) is a HyperLogLog estimate. It serves as a filter
+    ``n_zero`` and ``about_levels`` are counted with ``levels=True`` only. The latter is a HyperLogLog estimate. It serves as a filter
     without false negatives: with 512 registers, a column of at most nine values fills at most
     nine registers, for which the estimate is nine at most.
     """
@@ -42,7 +42,7 @@ def column_profile(
         batch = columns[start:start + COLUMNS_PER_BATCH]
         rows = ", ".join(
             f"struct({literal(c)} AS column_name, count(1) AS n_rows, count({name(c)}) AS n_valid, "
-            + (f"count_if({name(c)} = 0)" if c in numeric else "0L") + " AS n_zero, "
+            + (f"count_if({name(c)} = 0)" if levels and c in numeric else "0L") + " AS n_zero, "
             + (f"approx_count_distinct({name(c)})" if levels else "CAST(NULL AS BIGINT)") + " AS about_levels)"
             for c in batch
         )

@@ -43,7 +43,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again, such as the last step's state.
+
+    Only the very tables that ``stage`` returned are deleted; others are left alone.
+    """
+    for table in tables:
+        path = getattr(table, "_staged_path", None)
+        if path is not None:
+            spark = table.sparkSession
+            location = spark._jvm.org.apache.hadoop.fs.Path(path)
+            location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

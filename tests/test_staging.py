@@ -32,3 +32,13 @@ def test_broadcast_only_below_the_bound(spark):
 def test_empty_table(spark):
     empty = staging.stage(spark.range(0), "empty")
     assert empty.count() == 0 and empty.columns == ["id"]
+
+
+def test_discard(spark):
+    first = staging.stage(spark.range(3), "first")
+    derived = first.where("id > 0")
+    staging.discard(derived)
+    assert derived.count() == 2
+    staging.discard(first)
+    with pytest.raises(Exception):
+        first.count()

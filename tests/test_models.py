@@ -118,6 +118,14 @@ def test_order_statistics(spark, rows_per_range):
         area(frame.label.to_numpy(), frame.v.to_numpy()))
 
 
+def test_median_with_a_bracket_that_misses(spark):
+    frame = pd.DataFrame({"g": np.arange(101) % 2, "v": np.arange(101) * 1.0})
+    df = spark.createDataFrame(frame)
+    wrong = spark.createDataFrame([(0, 90.0, 95.0), (1, 40.0, 60.0)], "g bigint, low double, high double")
+    found = ranks.exact_median(df, ["g"], "v", rows_per_range=10, brackets=wrong)
+    assert {r["g"]: r["median"] for r in found.collect()} == {0: 50.0, 1: 50.0}
+
+
 @pytest.mark.parametrize("rows_per_range", [20, 10**6])
 def test_running_totals_with_ties(spark, rows_per_range):
     rng = np.random.default_rng(4)

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.bpe_count import token_counts
+from cohortloom.llm.langid import languages
 from cohortloom.llm.packing import pack_documents
+from cohortloom.llm.pii import personal_data
 from cohortloom.llm.piece_bpe import encoding_digests
 
 WORDS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -20,6 +22,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
@@ -29,6 +39,7 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_packing": op1_packing, "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding,
+    "op1_packing": op1_packing, "op3_personal_data": op3_personal_data, "op5_languages": op5_languages,
+    "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding,
 }
 ORACLES: dict[str, str] = {}

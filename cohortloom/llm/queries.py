@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.bpe_count import token_counts
 from cohortloom.llm.langid import languages
+from cohortloom.llm.order_minhash import edited_fingerprints
 from cohortloom.llm.packing import pack_documents
 from cohortloom.llm.pii import personal_data
 from cohortloom.llm.piece_bpe import encoding_digests
+from cohortloom.llm.secrets import secret_spans
 
 WORDS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -30,6 +32,10 @@ def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
@@ -38,8 +44,13 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing, "op3_personal_data": op3_personal_data, "op5_languages": op5_languages,
     "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding,
+    "op6_order_minhash": op6_order_minhash, "op9_secrets": op9_secrets,
 }
 ORACLES: dict[str, str] = {}

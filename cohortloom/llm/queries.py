@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.bpe_count import token_counts
 from cohortloom.llm.langid import languages
+from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.order_minhash import edited_fingerprints
 from cohortloom.llm.packing import pack_documents
 from cohortloom.llm.pii import personal_data
@@ -28,6 +29,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing, "op3_personal_data": op3_personal_data, "op5_languages": op5_languages,
     "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding,
-    "op6_order_minhash": op6_order_minhash, "op9_secrets": op9_secrets,
+    "op4_near_duplicates": op4_near_duplicates, "op6_order_minhash": op6_order_minhash, "op9_secrets": op9_secrets,
 }
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.bpe_count import token_counts
+from cohortloom.llm.embedding_dedup import near_vectors
 from cohortloom.llm.langid import languages
 from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.order_minhash import edited_fingerprints
@@ -53,9 +54,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing, "op3_personal_data": op3_personal_data, "op5_languages": op5_languages,
     "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding,
     "op4_near_duplicates": op4_near_duplicates, "op6_order_minhash": op6_order_minhash, "op9_secrets": op9_secrets,
+    "op10_near_vectors": op10_near_vectors,
 }
 ORACLES: dict[str, str] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.bpe_count import token_counts
 from cohortloom.llm.embedding_dedup import near_vectors
+from cohortloom.llm.html_extract import main_text
 from cohortloom.llm.langid import languages
 from cohortloom.llm.near_dedup import near_duplicates
 from cohortloom.llm.order_minhash import edited_fingerprints
@@ -26,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -59,9 +64,9 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_packing": op1_packing, "op3_personal_data": op3_personal_data, "op5_languages": op5_languages,
-    "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding,
-    "op4_near_duplicates": op4_near_duplicates, "op6_order_minhash": op6_order_minhash, "op9_secrets": op9_secrets,
+    "op1_packing": op1_packing, "op2_main_text": op2_main_text, "op3_personal_data": op3_personal_data,
+    "op4_near_duplicates": op4_near_duplicates, "op5_languages": op5_languages, "op6_order_minhash": op6_order_minhash,
+    "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding, "op9_secrets": op9_secrets,
     "op10_near_vectors": op10_near_vectors,
 }
 ORACLES: dict[str, str] = {}

@@ -10,6 +10,7 @@ from cohortloom.llm.embedding_dedup import near_vectors
 from cohortloom.llm.html_extract import main_text
 from cohortloom.llm.langid import languages
 from cohortloom.llm.near_dedup import near_duplicates
+from cohortloom.llm.oracles import NEAR_DUPLICATES, NEAR_VECTORS
 from cohortloom.llm.order_minhash import edited_fingerprints
 from cohortloom.llm.packing import pack_documents
 from cohortloom.llm.pii import personal_data
@@ -69,4 +70,4 @@ QUERIES = {
     "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding, "op9_secrets": op9_secrets,
     "op10_near_vectors": op10_near_vectors,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_near_duplicates": NEAR_DUPLICATES, "op10_near_vectors": NEAR_VECTORS}

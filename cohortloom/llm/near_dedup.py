@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     found = stage(components(first.union(second)), "components").withColumnRenamed("node", "first")
     of_class = classes.select(*same, "first").join(found, "first", "left").select(*same, F.coalesce("component", "first").alias("component"))
     merged = made.select("id", *same).join(of_class, same, "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return merged.select(
         F.col("id").cast(docs.schema[key].dataType).alias(key), "n_shingles", component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),

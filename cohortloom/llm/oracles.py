@@ -12,7 +12,7 @@ with recursive words as (
     else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) end as s
   from words
 ), items as (
-  select doc_id, unnest(s) as g from sets
+  select doc_id, unnest(list_transform(s, lambda x: hash(x))) as g from sets
 ), common as (
   select x.doc_id as a, y.doc_id as b, count(*) as c from items x join items y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2
 ), links as (

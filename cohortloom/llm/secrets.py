@@ -166,10 +166,13 @@ def secret_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     )
 
 
-def mask(docs: DataFrame, text: str = "text", label: str = "[secret]", columns: list[str] | None = None) -> DataFrame:
-    """``docs`` with each secret in ``text`` replaced by ``label``; spans that overlap are replaced together."""
-    names = columns or docs.columns
-    scanned = scan(docs, text, tuple(names))
+def mask(docs: DataFrame, text: str = "text", label: str = "[secret]") -> DataFrame:
+    """``docs`` with each secret in ``text`` replaced by ``label``; spans that overlap are replaced together.
+
+    Null texts stay null; rows and columns, whatever their names, stay as they are otherwise.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scanned = scan(docs.select(whole.alias("__doc"), F.col(f"`{text}`").alias("__text")), "__text", ("__doc",))
     # spans in order: one that begins inside the last joins it
     step = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["start"] < F.element_at(acc, -1)["end"]),
@@ -179,8 +182,8 @@ def mask(docs: DataFrame, text: str = "text", label: str = "[secret]", columns:
         ),
     ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end")))))
     merged = F.aggregate("found", F.array().cast("array<struct<start:bigint,end:bigint>>"), step)
-    rows = scanned.withColumn("__m", F.when(F.size("found") > 0, merged))
-    t = F.col(f"`{text}`")
+    rows = scanned.select("__doc", F.when(F.size("found") > 0, merged).alias("__m"))
+    t = F.col("__doc")[text]
 
     def pieces(m: Column) -> Column:
         end = lambda i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
@@ -188,4 +191,4 @@ def mask(docs: DataFrame, text: str = "text", label: str = "[secret]", columns:
 
     rest = F.substr(t, (F.element_at("__m", -1)["end"] + 1).cast("int"), F.char_length(t))
     masked = F.when(F.col("__m").isNotNull(), F.concat(F.array_join(let(F.col("__m"), pieces), ""), rest)).otherwise(t)
-    return rows.select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    return rows.select(*[masked.alias(c) if c == text else F.col("__doc")[c].alias(c) for c in docs.columns])

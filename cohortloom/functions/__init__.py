@@ -3,7 +3,7 @@ from cohortloom.functions.scalars import (  # noqa: F401
     gaussian_kernel,
     log2_offset,
     nan_to_null,
+    number_of,
     order_key,
     parse_measure,
-    standardized,
 )

@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from cohortloom.constants import LOG2_OFFSET, MISSING_TOKENS
 
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
 
 def nan_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(float("nan")))
 
 
+def number_of(text: Column) -> Column:
+    """Decimal text to double, NULL if it is none. A cast alone would also read 1d or 12F."""
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(NUMBER), trimmed.try_cast("double"))
+
+
 def parse_measure(text: Column, tokens: Iterable[str] = MISSING_TOKENS) -> Column:
     """Text to double, any missing token to NULL."""
-    trimmed = F.trim(text)
-    number = trimmed.try_cast("double")
-    return F.when(trimmed.isin(*tokens), None).otherwise(nan_to_null(number))
+    return F.when(F.trim(text).isin(*tokens), None).otherwise(nan_to_null(number_of(text)))
 
 
 def log2_offset(value: Column, offset: float = LOG2_OFFSET) -> Column:
@@ -26,13 +32,6 @@ def log2_offset(value: Column, offset: float = LOG2_OFFSET) -> Column:
     return F.log2(value + F.lit(offset))
 
 
-def standardized(value: Column, mean: float | None, deviation: float | None) -> Column:
-    """z-score; a zero deviation divides by one."""
-    if mean is None:
-        return F.lit(None).cast("double")
-    return (value - F.lit(float(mean))) / F.lit(float(deviation) if deviation else 1.0)
-
-
 def gaussian_kernel(distance: Column, sigma: Column) -> Column:
     return F.exp(-(distance * distance) / (F.lit(2.0) * sigma * sigma))
 

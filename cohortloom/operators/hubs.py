@@ -1,4 +1,4 @@
-"""Equi-join with a left side whose rows may pile up on a few key values."""
+"""Equi-join of two sides whose rows may pile up on a few key values."""
 
 from __future__ import annotations
 
@@ -46,6 +46,15 @@ def divided_join(
 def hub_join(
     left: DataFrame, right: DataFrame, on: str | Sequence[str], spread_by: str, rows_per_key: int = ROWS_PER_KEY
 ) -> DataFrame:
-    """``divided_join`` by the crowded keys of ``left``, which is counted and should be staged."""
+    """``divided_join`` by the keys at which many rows meet, counted on both sides.
+
+    A key gives (left rows x right rows) results; it is divided so often that a part gives
+    ``rows_per_key`` of them or one left row is left in it. Both sides should be staged.
+    """
     on = [on] if isinstance(on, str) else list(on)
-    return divided_join(left, right, on, spread_by, crowded_keys(left, on, rows_per_key))
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("l")).join(
+        right.groupBy(*on).agg(F.count(F.lit(1)).alias("r")), on)
+    parts = F.least(F.col("l"), F.ceil(F.col("l").cast("double") * F.col("r") / rows_per_key).cast("long"))
+    over = counts.where(F.col("l").cast("double") * F.col("r") > rows_per_key)
+    crowded = stage(over.select(*on, parts.cast("int").alias("__parts")), "crowded")
+    return divided_join(left, right, on, spread_by, None if crowded.isEmpty() else broadcast_if_small(crowded))

@@ -72,11 +72,15 @@ def split_by_key(batch: pa.RecordBatch, keys: Sequence[str]):
     if not keys:
         yield (), slice(None)
         return
-    table = pa.Table.from_batches([batch.select(list(keys))]).append_column(
-        "__row", pa.array(np.arange(batch.num_rows)))
-    grouped = table.group_by(list(keys)).aggregate([("__row", "list")])
-    for row in grouped.to_pylist():
-        yield tuple(row[k] for k in keys), np.asarray(row["__row_list"])
+    columns = [batch.column(k).dictionary_encode("encode") for k in keys]
+    codes = np.zeros(batch.num_rows, np.int64)
+    for column in columns:
+        codes = codes * len(column.dictionary) + column.indices.to_numpy()
+        codes = np.unique(codes, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    for rows in np.split(order, starts[1:]) if len(order) else []:
+        yield tuple(column[int(rows[0])].as_py() for column in columns), rows
 
 
 def pair_moments(

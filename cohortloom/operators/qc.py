@@ -109,9 +109,11 @@ def apply_qc_rules(
 ) -> DataFrame:
     """Table with the columns that pass, after id, covariates and outcomes.
 
+    The table is written once, as the profile, the level counts, the moments and the result all read it.
     The rules look at raw values; ``log2(x + offset)`` and then the z-score follow on the
     surviving columns, if asked for.
     """
+    df = stage(df, "checked")
     verdicts = qc_verdicts(df, outcomes, covariates, id_column, group, **thresholds)
     passed = {r["column_name"] for r in verdicts.where(F.col("failed_rule").isNull()).collect()}
     survivors = [c for c in checked_columns(df, outcomes, covariates, id_column) if c in passed]

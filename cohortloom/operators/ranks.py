@@ -26,21 +26,52 @@ CROWDED = 4
 TIE_DIGITS = 3
 
 
+def same_key_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which NULL keys meet each other, as they do in a window or a group."""
+    marked = right.withColumnsRenamed({c: f"__other_{c}" for c in on})
+    equal = [left[c].eqNullSafe(marked[f"__other_{c}"]) for c in on]
+    return left.join(marked, equal).drop(*[f"__other_{c}" for c in on])
+
+
 def _value_ranges(df: DataFrame, order: str, n_rows: int, rows_per_range: int) -> DataFrame:
     """Add ``__range``: the position of the value between approximate quantiles.
 
     Any boundaries give the same result, they only balance the ranges; so a share of the rows
-    is enough to find them.
+    is enough to find them. NULL has a range before all others and NaN one after them, which
+    is where Spark sorts them. Ranges that would hold too many rows are cut a second time, at quantiles of
+    their own.
     """
-    count = min(MAX_RANGES, ceil(n_rows / rows_per_range))
-    shares = F.expr("array(" + ", ".join(f"{i / count!r}D" for i in range(1, count)) + ")")
-    looked_at = df.sample(fraction=min(1.0, ROWS_PER_BOUNDARY * count / n_rows), seed=7)
-    quantiles = looked_at.agg(
-        F.percentile_approx(F.col(order).cast("double"), shares, F.lit(20 * count))).first()[0]
-    cuts = [-inf, *sorted(set(quantiles or [])), inf]
-    bucketizer = Bucketizer(splits=cuts, inputCol="__value", outputCol="__position")
-    ranged = bucketizer.transform(df.withColumn("__value", F.col(order).cast("double")))
-    return ranged.withColumn("__range", F.col("__position").cast("int")).drop("__value", "__position")
+    wanted = ceil(n_rows / rows_per_range)
+    count = min(MAX_RANGES, wanted)
+    value = F.col(order).cast("double")
+    regular = value.isNotNull() & ~F.isnan(value)
+
+    def shares(n: int):
+        return F.expr("array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")")
+
+    looked_at = df.sample(fraction=min(1.0, ROWS_PER_BOUNDARY * wanted / n_rows), seed=7).where(regular)
+    if count > 1:
+        quantiles = looked_at.agg(F.percentile_approx(value, shares(count), F.lit(20 * count))).first()[0]
+    else:
+        quantiles = []
+    cuts = sorted({-inf, *(quantiles or []), inf})
+    bucketizer = Bucketizer(splits=cuts, inputCol="__value", outputCol="__position", handleInvalid="keep")
+
+    def located(rows: DataFrame) -> DataFrame:
+        placed = bucketizer.transform(rows.withColumn("__value", value))
+        at = F.when(F.col("__value").isNull(), -1).when(F.isnan("__value"), len(cuts)).otherwise(F.col("__position"))
+        return placed.withColumn("__range", at.cast("long")).drop("__position")
+
+    if wanted <= MAX_RANGES:
+        return located(df).drop("__value")
+    inner = ceil(wanted / MAX_RANGES) + 1
+    finer = stage(located(looked_at).groupBy("__range").agg(
+        F.percentile_approx("__value", shares(inner), F.lit(20 * inner)).alias("__cuts")), "finer")
+    # At most MAX_RANGES + 2 rows.
+    ranged = located(df).join(F.broadcast(finer), "__range", "left")
+    below = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__value"))), F.lit(0))
+    below = F.when(F.col("__cuts").isNull(), 0).otherwise(below)
+    return ranged.withColumn("__range", F.col("__range") * inner + below).drop("__value", "__cuts")
 
 
 def _range_totals(ranged: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> tuple[DataFrame, int]:
@@ -48,7 +79,7 @@ def _range_totals(ranged: DataFrame, keys: Sequence[str], measures: Sequence[str
     sums = stage(
         ranged.groupBy(*keys, "__range").agg(
             F.count(F.lit(1)).alias("__rows"), *[F.sum(m).alias(f"__sum_{m}") for m in measures]), "ranges")
-    # At most MAX_RANGES rows per key meet in this window.
+    # One row per range and key meets in this window, whatever the ranges hold.
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         *keys, "__range",
@@ -61,7 +92,7 @@ def _add_before(
 ) -> DataFrame:
     """``before_*`` within the value range plus the sums of the ranges before."""
     local = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    located = ranged.join(broadcast_if_small(offsets), [*keys, "__range"])
+    located = same_key_join(ranged, broadcast_if_small(offsets), [*keys, "__range"])
     return located.withColumns({
         f"before_{m}": F.coalesce(F.sum(m).over(local), F.lit(0)) + F.col(f"__offset_{m}") for m in measures
     }).drop("__range", *[f"__offset_{m}" for m in measures])
@@ -79,7 +110,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``before_<m>``: the sum of each measure over the rows of the key that sort earlier.
 
-    Without ``tie`` the rows must be unique in key and order value. With it, equal values are
+    NULL order values come first and NaN last, as Spark sorts them. Without ``tie`` the rows must be unique in key and order value. With it, equal values are
     put in the order of a seeded hash of the tie column, then of the column itself; a value
     shared by many rows is divided by that hash.
     """
@@ -107,7 +138,7 @@ def running_totals(
     within = Window.partitionBy(*groups).orderBy("__hash", tie).rowsBetween(Window.unboundedPreceding, -1)
     located = parted.withColumns(
         {f"__in_{m}": F.coalesce(F.sum(m).over(within), F.lit(0)) for m in measures})
-    joined = located.join(placed.drop(*measures), groups)
+    joined = same_key_join(located, placed.drop(*measures), groups)
     return joined.withColumns(
         {f"before_{m}": F.col(f"before_{m}") + F.col(f"__in_{m}") for m in measures}
     ).drop("__hash", "__part", *[f"__in_{m}" for m in measures])
@@ -178,6 +209,8 @@ def auroc(
 ) -> DataFrame:
     """Area under the ROC curve per key; tied scores count half, a single class gives 0.5.
 
+    A NULL score is below all others, a NaN above them; such scores are tied among themselves.
+
     One shuffle by key and score range. If many rows share a score, equal scores are counted
     together before.
     """
@@ -211,7 +244,7 @@ def auroc(
         F.sum(negative).alias("neg"))
     if offsets is not None:
         # Each positive of a range also beats the negatives of all ranges before.
-        within = within.join(offsets, parts).withColumn("wins", F.col("wins") + F.col("pos") * F.col("__offset_neg"))
+        within = same_key_join(within, offsets, parts).withColumn("wins", F.col("wins") + F.col("pos") * F.col("__offset_neg"))
     return _area(within, keys)
 
 

@@ -93,7 +93,7 @@ def mice_importance(spark, sf_dir):
 def mice_tuning(spark, sf_dir):
     """The penalty that the held-out rows choose per variable, in a whole tuned run."""
     _, result = _imputed(spark, sf_dir, n_datasets=1, n_iterations=1, tune=True)
-    return spark.createDataFrame(list(result.penalties.items()), "variable string, penalty double")
+    return result.tuned
 
 
 def mice_correlation(spark, sf_dir):

@@ -52,6 +52,13 @@ def auroc_by_language(spark, sf_dir):
     return ranks.auroc(scored, ["lang"]).withColumn("auroc", F.round("auroc", 6))
 
 
+def auroc_missing_scores(spark, sf_dir):
+    """Scores that some orders lack: a missing one is below all others and tied with its like."""
+    panel = survey_panel(spark, sf_dir).select(
+        "x_prio", (F.col("sample") % 3 == 0).cast("int").alias("label"), F.col("x_qty").alias("score"))
+    return ranks.auroc(panel, ["x_prio"]).withColumn("auroc", F.round("auroc", 6))
+
+
 def _scores(spark, sf_dir):
     """A table of the shape of inner scores: years as repetitions, priorities as folds."""
     return survey_panel(spark, sf_dir).groupBy(
@@ -168,7 +175,7 @@ def pls_final(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     kfold, nested_folds, fold_median, median_binarise, auroc, auroc_by_language, score_summary,
-    score_summary_by_fold, best_components, component_frequency, mode_components, pls_weights, pls_loadings,
+    auroc_missing_scores, score_summary_by_fold, best_components, component_frequency, mode_components, pls_weights, pls_loadings,
     pls_y_loadings, top_loadings, pls_scores, pls_predict, explained_variance, pls_cv_inner, pls_cv_outer,
     pls_cv, pls_final,
 )}
@@ -253,6 +260,13 @@ ORACLES = {
         ROUND(STDDEV_POP(auroc), 9) AS std_score, COUNT(auroc) AS n FROM scores GROUP BY n_components""", _SCORES),
     "score_summary_by_fold": with_panel("""SELECT "outer", ROUND(AVG(auroc), 10) AS mean_score,
         ROUND(STDDEV_POP(auroc), 9) AS std_score, COUNT(auroc) AS n FROM scores GROUP BY "outer" """, _SCORES),
+    "auroc_missing_scores": with_panel("""SELECT x_prio, ROUND(SUM(CASE WHEN label = 1 THEN below + equal / 2.0 END)
+          / (SUM(label) * SUM(1 - label)), 6) AS auroc
+        FROM (SELECT x_prio, label, SUM(1 - label) OVER (PARTITION BY x_prio ORDER BY score NULLS FIRST
+            RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - SUM(1 - label) OVER (PARTITION BY x_prio, score) AS below,
+          SUM(1 - label) OVER (PARTITION BY x_prio, score) AS equal
+          FROM (SELECT x_prio, CASE WHEN sample % 3 = 0 THEN 1 ELSE 0 END AS label, x_qty AS score FROM panel))
+        GROUP BY x_prio"""),
     "best_components": with_panel(
         'SELECT rep, "outer", n_components, ROUND(mean_score, 10) AS mean_score FROM chosen', _SCORES, _CHOSEN),
     "component_frequency": with_panel("""SELECT n_components, COUNT(*) AS n, MIN(rep) AS first_rep,

@@ -127,7 +127,9 @@ def _status_summary(spark, sf_dir, status):
 
 
 def outer_merge_coalesce(spark, sf_dir):
-    return merge.outer_merge(_status_summary(spark, sf_dir, "F"), _status_summary(spark, sf_dir, "O"))
+    """Three files, one per order status, of which no two hold the same participants."""
+    done, open_, partly = (_status_summary(spark, sf_dir, status) for status in "FOP")
+    return merge.outer_merge(merge.outer_merge(done, open_), partly)
 
 
 def harmonise_rename(spark, sf_dir):
@@ -283,10 +285,13 @@ ORACLES = {
           FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
         o AS (SELECT o_custkey AS sample, MIN(year(o_orderdate)) AS cycle,
           CASE WHEN COUNT(*) > 1 THEN ROUND(SUM(o_totalprice), 2) END AS spend, COUNT(*) AS n
-          FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey)
-        SELECT COALESCE(f.sample, o.sample) AS sample, f.n AS n_f, o.n AS n_o,
-          COALESCE(f.cycle, o.cycle)::INTEGER AS "Cycle", COALESCE(f.spend, o.spend) AS spend
-        FROM f FULL OUTER JOIN o ON f.sample = o.sample""",
+          FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey),
+        p AS (SELECT o_custkey AS sample, MIN(year(o_orderdate)) AS cycle,
+          CASE WHEN COUNT(*) > 1 THEN ROUND(SUM(o_totalprice), 2) END AS spend, COUNT(*) AS n
+          FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey)
+        SELECT COALESCE(f.sample, o.sample, p.sample) AS sample, f.n AS n_f, o.n AS n_o, p.n AS n_p,
+          COALESCE(f.cycle, o.cycle, p.cycle)::INTEGER AS "Cycle", COALESCE(f.spend, o.spend, p.spend) AS spend
+        FROM f FULL OUTER JOIN o ON f.sample = o.sample FULL OUTER JOIN p ON p.sample = COALESCE(f.sample, o.sample)""",
     "harmonise_rename": with_panel('SELECT sample, x_price AS "CFDDS" FROM panel'),
     "inner_merge": """SELECT l.doc_id, quality, n_chars, lang FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "reattach_ids": with_panel("""SELECT sample, "Cycle", ROUND(LOG2(x_qty + 1e-10), 6) AS x_qty FROM panel"""),

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortloom.constants import (
     ID_COLUMN,
@@ -15,7 +16,7 @@ from cohortloom.constants import (
     ROW_NUMBER_COLUMN,
     WAVE_COLUMNS,
 )
-from cohortloom.functions import nan_to_null, parse_measure
+from cohortloom.functions import number_of, parse_measure
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -43,7 +44,7 @@ def parse_text_table(
     measures = [c for c in raw.columns if c != id_column]
     if text_columns is None:
         unparsed = raw.agg(*[
-            F.count_if(~F.trim(F.col(c)).isin(*tokens) & F.trim(F.col(c)).try_cast("double").isNull()).alias(c)
+            F.count_if(~F.trim(F.col(c)).isin(*tokens) & number_of(F.col(c)).isNull()).alias(c)
             for c in measures
         ]).first() if measures else {}
         text_columns = [c for c in measures if unparsed[c] > 0]
@@ -63,18 +64,33 @@ def read_cohort(
     spark: SparkSession,
     path: str,
     id_column: str = ID_COLUMN,
-    schema=None,
+    schema: StructType | str | None = None,
     drop: Sequence[str] = (),
+    tokens: Iterable[str] = MISSING_TOKENS,
     **parse_options,
 ) -> DataFrame:
-    """One CSV file or folder of CSV files. With a schema nothing is inferred."""
-    reader = spark.read.option("header", True)
-    if schema is not None:
-        table = reader.schema(schema).option("nanValue", "nan").csv(path)
-        doubles = {f.name for f in table.schema if f.dataType.typeName() in ("double", "float")}
-        table = table.select(*[nan_to_null(F.col(c)).alias(c) if c in doubles else F.col(c) for c in table.columns])
-        return table.drop(*drop)
-    return parse_text_table(reader.csv(path).drop(*drop), id_column, **parse_options)
+    """One CSV file or folder of CSV files. With a schema nothing is inferred.
+
+    The schema's columns are found by their names in the header, in any order; missing tokens become NULL
+    in text and numbers alike.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    if schema is None:
+        return parse_text_table(raw.drop(*drop), id_column, tokens=tokens, **parse_options)
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    absent = [f.name for f in fields if f.name not in raw.columns]
+    if absent:
+        raise KeyError(f"columns {absent} not found in {path}")
+    tokens = tuple(tokens)
+
+    def typed(f):
+        kind, text = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("double", "float"):
+            return parse_measure(text, tokens).cast(f.dataType).alias(f.name)
+        value = F.when(~F.trim(text).isin(*tokens), text if kind == "string" else F.trim(text))
+        return value.try_cast(f.dataType).alias(f.name)
+
+    return raw.select(*[typed(f) for f in fields if f.name not in drop])
 
 
 def load_cohort(

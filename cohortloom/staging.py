@@ -10,20 +10,23 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId
     if app not in _local_roots:
@@ -45,9 +48,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_path = path
+    if _scopes:
+        _scopes[-1].append(staged)
     return staged
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables staged inside are deleted at the end, but for those that are put into the list that it gives.
+
+    Results that leave the scope must be staged, since what they are made of goes.
+    """
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        made = _scopes.pop()
+        paths = {t._staged_path for t in kept}
+        discard(*[t for t in made if t._staged_path not in paths])
+        if _scopes:
+            _scopes[-1].extend(t for t in made if t._staged_path in paths)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing will read again, such as the last step's state.
 

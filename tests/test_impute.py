@@ -126,3 +126,44 @@ def test_stage(spark, frame, tmp_path):
     back = plan.resume(spark, str(tmp_path / "out"))
     assert back["datasets"].columns[:2] == ["sample", "Cycle"]
     assert back["datasets"].select("dataset").distinct().count() == 2
+
+
+@pytest.mark.parametrize("rows_per_range", [10, 50])
+def test_matching_without_predictions(spark, rows_per_range):
+    rows = [(i, [None, float("nan"), float(i % 9)][i % 3], float(i) if i % 4 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, prediction double, value double")
+
+    def found(n):
+        return {r["id"]: r["value"] for r in match_donors(df, [], "id", rows_per_range=n).collect()}
+
+    assert found(rows_per_range) == found(10**6) and len(found(10**6)) == 50
+
+
+def test_chain_does_not_depend_on_memory(spark, frame, monkeypatch):
+    def completed():
+        table = chained.impute(nulls(spark, frame), **SETTINGS).completed().toPandas()
+        return table.sort_values(["dataset", "sample"]).reset_index(drop=True)
+
+    usual = completed()
+    monkeypatch.setattr(chained, "TASK_BYTES", 1)
+    pd.testing.assert_frame_equal(usual, completed())
+    strict = chained.impute(nulls(spark, frame), batch=1, **SETTINGS).completed().toPandas()
+    pd.testing.assert_frame_equal(usual, strict.sort_values(["dataset", "sample"]).reset_index(drop=True))
+
+
+def test_repeated_ids_are_an_error(spark, frame):
+    twice = nulls(spark, frame).union(nulls(spark, frame).limit(1))
+    with pytest.raises(ValueError, match="once"):
+        chained.impute(twice, **SETTINGS)
+
+
+def test_few_tables_are_left(spark, frame):
+    import os
+
+    from cohortloom.staging import shared_folder
+
+    folder = f"{shared_folder(spark)}/cohortloom/{spark.sparkContext.applicationId}"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    result = chained.impute(nulls(spark, frame), **SETTINGS)
+    left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
+    assert left == ["importance", "penalties", "state", "trace"] and result.trace.count() == 12

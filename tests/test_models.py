@@ -277,3 +277,41 @@ def test_student(t, freedom, p):
     assert linear.two_sided_p(t, freedom) == pytest.approx(p, abs=2e-6)
     if p < 1:
         assert linear.t_quantile(1 - p, freedom) == pytest.approx(t, rel=1e-4)
+
+
+def odd_scores(spark):
+    """Scores with NULL, NaN, infinity and many ties, in two groups and one without a key."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        value = [None, float("nan"), float("inf"), 1.0, float(rng.integers(0, 30))][int(rng.integers(0, 5))]
+        rows.append((i, [0, 1, None][i % 3], value, int(rng.integers(0, 2))))
+    return spark.createDataFrame(rows, "id long, g int, v double, label int")
+
+
+@pytest.mark.parametrize("most_ranges", [2000, 3])
+@pytest.mark.parametrize("rows_per_range", [10, 50])
+def test_missing_order_values_keep_their_place(spark, monkeypatch, rows_per_range, most_ranges):
+    monkeypatch.setattr(ranks, "MAX_RANGES", most_ranges)
+    df = odd_scores(spark)
+
+    def total(**options):
+        found = ranks.running_totals(df.withColumn("w", F.lit(1)), ["g"], "v", ["w"], tie="id", **options)
+        return {r["id"]: r["before_w"] for r in found.collect()}
+
+    def area(**options):
+        return {r["g"]: round(r["auroc"], 12) for r in ranks.auroc(df, ["g"], "label", "v", **options).collect()}
+
+    def median(**options):
+        return {r["g"]: r["median"] for r in ranks.exact_median(df.where("NOT isnan(v)"), ["g"], "v", **options).collect()}
+
+    assert total(rows_per_range=rows_per_range) == total(rows_per_range=10**6)
+    assert area(rows_per_range=rows_per_range) == area(rows_per_range=10**6)
+    assert median(rows_per_range=rows_per_range) == median(rows_per_range=10**6)
+
+
+def test_ranges_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "MAX_RANGES", 4)
+    df = spark.range(4000).selectExpr("id", "CAST(pmod(id * 7919, 4000) AS DOUBLE) AS v")
+    sizes = [r["count"] for r in ranks._value_ranges(df, "v", 4000, 100).groupBy("__range").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 400

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.operators import fusion, graph, hubs
 from cohortloom.plans import snf
@@ -142,3 +143,48 @@ def test_hub_join(spark):
 def test_nearest_breaks_ties_by_position():
     d = np.array([[1.0, 0.0, 1.0, 1.0, 2.0], [5.0, 4.0, 3.0, 2.0, 1.0]])
     assert graph._nearest(d, 3).tolist() == [[True, True, True, False, False], [False, False, True, True, True]]
+
+
+def test_clusters_do_not_depend_on_partitioning(spark):
+    rng = np.random.default_rng(8)
+    centre = np.repeat([0.0, 4.0, 9.0], [30, 40, 50])
+    frame = pd.DataFrame({"sample": np.arange(120), "a": centre + rng.normal(size=120), "b": rng.normal(size=120),
+                          "score": centre + rng.normal(size=120), "age": rng.integers(0, 9, 120).astype(float)})
+    df = spark.createDataFrame(frame)
+    labels = []
+    for parts in (1, 7):
+        network = fusion.run_snf(df.repartition(parts), {"low": ["a"], "high": ["b"]}, ["score"], ["age"], k=6)
+        labels.append(sorted(map(tuple, network.clusters(3).select("sample", "cluster").collect())))
+    assert labels[0] == labels[1] and {c for _, c in labels[0]} == {0, 1, 2}
+
+
+def test_groups_in_one_dimension(spark):
+    values = [0.0, 0.1, 0.2, 5.0, 5.1, 9.0, 9.2, 9.4]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, position double")
+    found = df.select("i", fusion.grouped_positions(df, 3).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in found] == [0, 0, 0, 1, 1, 2, 2, 2]
+    same = df.withColumn("position", F.lit(1.0))
+    assert same.select(fusion.grouped_positions(same, 3).alias("c")).distinct().count() == 1
+
+
+def test_keys_crowded_on_both_sides(spark):
+    left = spark.range(300).selectExpr("id AS i", "id % 3 AS a")
+    right = spark.range(300).selectExpr("id % 3 AS a", "id AS j")
+    plain = sorted(map(tuple, left.join(right, "a").select("a", "i", "j").collect()))
+    divided = hubs.hub_join(left, right, "a", "i", rows_per_key=500)
+    assert sorted(map(tuple, divided.select("a", "i", "j").collect())) == plain
+
+
+@pytest.mark.parametrize("strips", [(5, 7), (1024, 4096)])
+def test_strips_do_not_change_neighbours(spark, monkeypatch, strips):
+    monkeypatch.setattr(graph, "STRIP", strips[0])
+    monkeypatch.setattr(graph, "OTHER_STRIP", strips[1])
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame({"sample": np.arange(40), "a": rng.normal(size=40), "b": rng.integers(0, 3, 40).astype(float)})
+    blocks = graph.block_vectors(spark.createDataFrame(frame), {"x": ["a", "b"]})
+    found = graph.neighbour_graph(blocks, 4, tile_rows=16).edges().select("i", "j", "place").collect()
+    z = (frame[["a", "b"]] - frame[["a", "b"]].mean()) / frame[["a", "b"]].std(ddof=0)
+    d = np.round(np.sqrt(((z.to_numpy()[:, None] - z.to_numpy()[None]) ** 2).sum(2)), 9)
+    np.fill_diagonal(d, np.inf)
+    expected = {(i, int(j), k) for i in range(40) for k, j in enumerate(np.argsort(d[i], kind="stable")[:5]) if k}
+    assert {tuple(r) for r in found} == expected

@@ -42,3 +42,27 @@ def test_discard(spark):
     staging.discard(first)
     with pytest.raises(Exception):
         first.count()
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    with staging.scratch() as kept:
+        first, second = staging.stage(spark.range(3), "first"), staging.stage(spark.range(4), "second")
+        kept.append(second)
+    assert second.count() == 4
+    with pytest.raises(Exception):
+        first.count()
+    with staging.scratch():
+        with staging.scratch() as kept:
+            inner = staging.stage(spark.range(5), "inner")
+            kept.append(inner)
+        assert inner.count() == 5
+    with pytest.raises(Exception):
+        inner.count()
+
+
+def test_own_folder_only_in_local_mode():
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]", applicationId="app"))
+    with pytest.raises(RuntimeError):
+        staging.shared_folder(session)

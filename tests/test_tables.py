@@ -284,3 +284,19 @@ def test_clean_cohort(spark, survey):
     assert result.exposure_correlation().first()["r"] == pytest.approx(1.0, abs=0.05)
     assert result.missing("data_1").count() == 5
     assert result.outcome_histogram().agg(F.sum("n")).first()[0] == 300
+
+
+def test_schema_is_bound_by_name(spark, tmp_path):
+    (tmp_path / "swapped.csv").write_text("sample,b,a,t\n1,10,1, NA \n2,nan,2,x\n3,1d,3,nan\n")
+    typed = read_cohort(spark, str(tmp_path / "swapped.csv"), schema="sample bigint, a double, b double, t string")
+    assert [tuple(r) for r in typed.orderBy("sample").collect()] == [
+        (1, 1.0, 10.0, None), (2, 2.0, None, "x"), (3, 3.0, None, None)]
+    with pytest.raises(KeyError):
+        read_cohort(spark, str(tmp_path / "swapped.csv"), schema="sample bigint, c double")
+
+
+def test_only_decimal_text_is_a_number(spark, tmp_path):
+    (tmp_path / "odd.csv").write_text("sample,x,y\n1,1d,1e3\n2,12F,-.5\n3,3,+2.\n")
+    found = read_cohort(spark, str(tmp_path / "odd.csv"))
+    assert dict(found.dtypes) == {"sample": "bigint", "x": "string", "y": "double"}
+    assert [r["y"] for r in found.orderBy("sample").collect()] == [1000.0, -0.5, 2.0]

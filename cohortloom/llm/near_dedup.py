@@ -27,6 +27,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 LEAST_AGREEING = int(2 * PERMUTATIONS * (PERCENT / 100 - 5 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5))
 #: Documents that one group of comparisons holds at most, on each side.
 CHUNK = 100
+#: Documents of a band that are compared within one group, on each side.
+BLOCK = 1_000
 CACHED_WORDS = 600_000
 
 _generator = np.random.Generator(np.random.PCG64(20_240_601))
@@ -175,44 +177,68 @@ def confirmed(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFra
     return sets.mapInArrow(run, "a long, b long")
 
 
-def unlinked_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a band and may be alike, of different components.
+def band_links(docs: DataFrame, rows: DataFrame, text: str, key: str) -> DataFrame:
+    """Links (a, b) between components among the documents of each band.
 
-    ``rows``: band, id, component, n_shingles, signature, size (documents of the band). Bands are split into chunks;
-    each two chunks of a band meet in one group, and only pairs whose signatures agree well enough leave it.
+    ``rows``: band, place (of the band in the signature), id, component, n_shingles, bands, signature, size (documents of the
+    band). The sets are made anew from the texts and go to the document's bands. Bands of more than ``BLOCK`` documents are
+    cut into chunks, of which each two meet in one group. A pair is looked at where it first meets: if signatures agree
+    well enough, whole sets decide. Only links that join what is still apart leave a group, so what is handed on grows with the
+    documents and not with the pairs.
     """
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    rows = rows.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    rows = rows.select("band", "id", "component", "n_shingles", "signature", "chunk", other)
-    group = F.xxhash64("band", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    within = F.col("chunk") == F.col("other")
-    rows = rows.select(group.alias("group"), F.when(within, -1).otherwise(F.col("chunk")).alias("side"), "id", "component", "n_shingles", "signature")
-    rows = rows.repartition("group").sortWithinPartitions("group", "id")
+    rows = rows.select("band", "place", "id", "component", "n_shingles", "bands", "signature", "chunk", other)
+    group = F.xxhash64("band", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("group")
+    side = F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("side")
+    places = F.collect_list(F.struct(group, side, "place")).alias("places")
+    wanted = stage(rows.groupBy("id", "component", "n_shingles").agg(places, F.first("bands").alias("bands"), F.first("signature").alias("signature")), "wanted")
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).join(broadcast_if_small(wanted), "id")
+    out = StructType([StructField("hashes", BinaryType())])
+    kept = ["id", "component", "bands", "signature", "places"]
+    sets = map_texts(texts, lambda: lambda texts: {"hashes": [shingles(x).tobytes() for x in texts]}, out, "t", kept)
+    sets = sets.select("id", "component", "bands", "signature", "hashes", F.explode("places").alias("p"))
+    sets = sets.select("id", "component", "bands", "signature", "hashes", "p.group", "p.side", "p.place")
+    sets = sets.repartition("group").sortWithinPartitions("group", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
-            group, side, ids, component, n = (table.column(c).to_numpy() for c in ("group", "side", "id", "component", "n_shingles"))
-            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-            pairs, apart, x = [], 1, np.arange(len(ids))
-            while True:
-                x = x[x + apart < len(ids)]
-                x = x[group[x] == group[x + apart]]
-                if not len(x):
-                    break
-                y = x + apart
-                small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                fit = (component[x] != component[y]) & ((side[x] < 0) | (side[x] != side[y])) & (100 * small >= PERCENT * large)
-                i, j = x[fit], y[fit]
-                for first in range(0, len(i), 50_000):
-                    p, q = i[first : first + 50_000], j[first : first + 50_000]
-                    alike = (signature[p] == signature[q]).sum(axis=1) >= LEAST_AGREEING
-                    pairs.append(np.column_stack([ids[p[alike]], ids[q[alike]]]))
-                apart += 1
-            found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+            group = table.column("group").to_numpy()
+            starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+            found = [_links_of(table.slice(x, y - x)) for x, y in zip(starts, [*starts[1:], len(group)], strict=True)]
+            links = np.concatenate([np.empty((0, 2), np.int64), *found])
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    return sets.mapInArrow(run, "a long, b long")
+
+
+def _links_of(group: pa.Table) -> np.ndarray:
+    """Links that join components within one group of ``band_links``."""
+    ids, root, side = (group.column(c).to_numpy().copy() for c in ("id", "component", "side"))
+    if (root == root[0]).all():
+        return np.empty((0, 2), np.int64)
+    place = group.column("place")[0].as_py()
+    bands = np.array(group.column("bands").to_pylist(), np.int64)
+    signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    links = []
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        j = j[(root[j] != root[i]) & ((side[j] < 0) | (side[j] != side[i])) & (100 * small >= PERCENT * large)]
+        j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
+        j = j[(signature[j] == signature[i]).sum(axis=1) >= LEAST_AGREEING]
+        if not len(j):
+            continue
+        every = np.concatenate([sets[k] for k in j])
+        at = np.minimum(np.searchsorted(sets[i], every), sizes[i] - 1)
+        common = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum([0, *sizes[j[:-1]]]))
+        for k in j[100 * common >= PERCENT * (sizes[i] + sizes[j] - common)].tolist():
+            if root[k] != root[i]:
+                links.append((ids[i], ids[k]))
+                root[root == root[k]] = root[i]
+    return np.array(links, np.int64).reshape(-1, 2)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -221,7 +247,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Two documents are linked if their sets of five-word shingles share 75 per cent of their union or more. Equal sets
     are one class first. In each band every class is compared with the smallest; of these candidates it takes the one
     that it shares most bands with, and the pair is confirmed on whole sets. Bands that still hold several components are
-    then compared in full, in blocks. Nothing is dropped for being frequent.
+    then compared in full, in blocks that return no more links than documents. Nothing is dropped for being frequent.
 
     Null or empty texts and texts without words have no shingles, form components of their own and are kept. A
     null key gets a null component and is not kept. Keys are whole numbers; rows that repeat a key and text get equal results.
@@ -231,18 +257,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     sets = made.where("id is not null and n_shingles > 0")
     same = ["set_a", "set_b", "n_shingles"]
     classes = stage(sets.groupBy(*same).agg(F.min("id").alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
-    in_bands = classes.select(F.col("first").alias("id"), F.explode("bands").alias("band"))
+    in_bands = classes.select(F.col("first").alias("id"), F.posexplode("bands").alias("place", "band"))
     crowded = in_bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1")
     shared = stage(in_bands.join(crowded, "band"), "bands")
     best = F.max(F.struct("n", (-F.col("hub")).alias("h")))
     nearest = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n")).groupBy("id").agg(best.alias("x"))
     first = stage(confirmed(docs, stage(nearest.select(F.col("id").alias("a"), (-F.col("x.h")).alias("b")), "pairs"), text, key), "confirmed")
     known = stage(components(first), "components")
-    at = shared.join(known.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("component"))
+    at = shared.join(known.withColumnRenamed("node", "id"), "id", "left").select("band", "place", "id", "size", F.coalesce("component", "id").alias("component"))
     open_ = at.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    about = classes.select(F.col("first").alias("id"), "n_shingles", "signature")
-    left = stage(unlinked_pairs(at.join(open_, "band").join(about, "id")).distinct(), "pairs")
-    second = confirmed(docs, left, text, key)
+    about = classes.select(F.col("first").alias("id"), "n_shingles", "bands", "signature")
+    second = stage(band_links(docs, at.join(open_, "band").join(about, "id"), text, key), "links")
     found = stage(components(first.union(second)), "components").withColumnRenamed("node", "first")
     of_class = classes.select(*same, "first").join(found, "first", "left").select(*same, F.coalesce("component", "first").alias("component"))
     merged = made.select("id", *same).join(of_class, same, "left")

@@ -79,6 +79,7 @@ def near_texts(n, seed):
 
 def test_near_duplicates(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "CHUNK", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
     hot = random.Random(3).choices(["h%d" % k for k in range(300)], k=60)
     crowd = []
     for k in range(40):

@@ -13,20 +13,25 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Code points that Python handles at a time; a batch of rows is cut so that long texts do not add up.
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 
 
 class BoundedCache(dict):
-    """Results by key. Emptied when full: a cache changes how long a job takes, never what it returns."""
+    """Results by key, at most ``limit`` of them: it changes how long a job takes, never what it returns.
+
+    When half the limit is reached the entries become the older half; a key found there comes forward again.
+    """
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.half, self.older = compute, max(1, limit // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        value = self.older[key] if key in self.older else self.compute(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 

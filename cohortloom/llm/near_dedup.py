@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from cohortloom.llm.batches import BoundedCache, map_texts
+from cohortloom.llm.batches import map_texts
 from cohortloom.llm.components import components
 from cohortloom.staging import broadcast_if_small, stage
 
@@ -29,7 +28,6 @@ LEAST_AGREEING = int(2 * PERMUTATIONS * (PERCENT / 100 - 5 * (0.75 * 0.25 / (2 *
 CHUNK = 100
 #: Documents of a band that are compared within one group, on each side.
 BLOCK = 1_000
-CACHED_WORDS = 600_000
 
 _generator = np.random.Generator(np.random.PCG64(20_240_601))
 MULTIPLIERS = _generator.integers(0, 2**64, PERMUTATIONS, np.uint64) | np.uint64(1)
@@ -43,11 +41,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> BoundedCache:
-    return BoundedCache(xxhash.xxh3_64_intdigest, CACHED_WORDS)
-
-
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the distinct runs of ``words`` words; of the whole sequence if it is shorter."""
     found = text.encode().lower().split()
@@ -55,7 +48,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(found) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=words)], np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     n = len(h) - words + 1
     run = np.zeros(n, np.uint64)
     for k in range(words):
@@ -149,7 +142,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFra
         F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     ).select("id", F.struct(F.xxhash64("id", "part").alias("place"), F.lit(0).alias("role"), F.col("id").alias("b")).alias("p"))
     wanted = stage(left.union(right).groupBy("id").agg(F.collect_list("p").alias("places")), "wanted")
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).join(broadcast_if_small(wanted), "id")
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).join(broadcast_if_small(wanted, 100_000), "id")
     out = StructType([StructField("hashes", BinaryType())])
     sets = map_texts(rows, lambda: lambda texts: {"hashes": [shingles(x).tobytes() for x in texts]}, out, "t", ["id", "places"])
     sets = sets.select("id", "hashes", F.explode("places").alias("p")).select("id", "hashes", "p.place", "p.role", "p.b")
@@ -193,7 +186,7 @@ def band_links(docs: DataFrame, rows: DataFrame, text: str, key: str) -> DataFra
     side = F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("side")
     places = F.collect_list(F.struct(group, side, "place")).alias("places")
     wanted = stage(rows.groupBy("id", "component", "n_shingles").agg(places, F.first("bands").alias("bands"), F.first("signature").alias("signature")), "wanted")
-    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).join(broadcast_if_small(wanted), "id")
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).join(broadcast_if_small(wanted, 100_000), "id")
     out = StructType([StructField("hashes", BinaryType())])
     kept = ["id", "component", "bands", "signature", "places"]
     sets = map_texts(texts, lambda: lambda texts: {"hashes": [shingles(x).tobytes() for x in texts]}, out, "t", kept)

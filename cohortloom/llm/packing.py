@@ -23,7 +23,7 @@ from cohortloom.staging import broadcast_if_small, stage
 #: Fixed pattern of the vocabulary: the parts of a word that are merged on their own.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WIDE = re.compile("[^\x00-\xff]")
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 #: Pieces that one task numbers at most, within one length.
 PIECES_PER_TASK = 250_000
 

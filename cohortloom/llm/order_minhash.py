@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.columns import let
 
 #: Characters of a k-mer, components of a fingerprint, k-mers of a component, and k-mers read from a long text on average.
-K, COMPONENTS, PICKED, EXPECTED = 8, 64, 2, 400
+K, COMPONENTS, PICKED, EXPECTED = 8, 64, 2, 800
 #: k-mers that start in one chunk of a text, and documents of one neighbour window.
 CHUNK, WINDOW_DOCUMENTS, MOST_BOUNDS = 64, 500, 16_384
 ELEMENTS = "array<struct<component:int,hash:bigint,position:int>>"
@@ -87,15 +87,16 @@ def likeness(a: Column, b: Column) -> Column:
 def add_fingerprint(rows: DataFrame, text: str, name: str, known: Column | None = None) -> DataFrame:
     """Column ``name``: the components of ``text``.
 
-    From a long text only k-mers with low hashes are read, as the smallest of each component have; if a text
-    repeats itself so much that few remain, all of its k-mers are. ``known``: these k-mers, if the caller has them.
+    From a long text only k-mers with low hashes are read, as the smallest of each component have; wherever a component
+    lacks ``PICKED`` of them, all k-mers of the text are. ``known``: the low k-mers, if the caller has them.
     """
     t = F.col(text)
     low = known if known is not None else elements(t, limit_for(F.char_length(t)))
-    rows = rows.withColumn("__low", low)
-    few = (F.size("__low") < EXPECTED // 4) & (F.char_length(t) > EXPECTED)
-    rows = rows.withColumn("__low", F.array_sort(F.when(few, elements(t, F.lit(2**63 - 1))).otherwise(F.col("__low"))))
+    rows = rows.withColumn("__low", F.array_sort(low))
     rows = rows.withColumn("__low", picked(F.col("__low")))
+    lacks = (F.size("__low") < COMPONENTS * PICKED) & (F.char_length(t) > EXPECTED)
+    every = F.when(lacks, F.array_sort(elements(t, F.lit(2**63 - 1))))
+    rows = rows.withColumn("__low", F.when(lacks, picked(every)).otherwise(F.col("__low")))
     return rows.withColumn(name, components(F.col("__low"))).drop("__low")
 
 

@@ -235,3 +235,15 @@ def test_fingerprints_follow_edit_distance(spark):
     rows = {r.doc_id: r.components for r in order_minhash.fingerprints(table(spark, variants)).collect()}
     alike = [len(set(rows[0]) & set(rows[i])) / 64 for i in range(4)]
     assert alike[0] == 1.0 and alike[1] > 0.7 > alike[2] and alike[1] > alike[3]
+
+
+def test_fingerprints_of_repetitive_texts(spark, monkeypatch):
+    """Long texts of repeated lines and passages have the components that reading every k-mer gives."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 9)))
+    line, passage = " ".join(word() for _ in range(12)) + "\n", " ".join(word() for _ in range(150))
+    texts = [(line * 30_000)[:30_000], (passage * 40)[:30_000], " ".join(word() for _ in range(3000)), " ".join(word() for _ in range(200))]
+    limited = {r.doc_id: r.components for r in order_minhash.fingerprints(table(spark, texts)).collect()}
+    monkeypatch.setattr(order_minhash, "EXPECTED", 10**9)
+    whole = {r.doc_id: r.components for r in order_minhash.fingerprints(table(spark, texts)).collect()}
+    assert limited == whole

@@ -9,41 +9,84 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.columns import let
 
-#: Characters of a k-mer, components of a fingerprint, k-mers of a component, and k-mers read from a long text on average.
+#: Characters of a k-mer, components of a fingerprint, k-mers of a component, and elements taken from a long text on average.
 K, COMPONENTS, PICKED, EXPECTED = 8, 64, 2, 800
 #: k-mers that start in one chunk of a text, and documents of one neighbour window.
 CHUNK, WINDOW_DOCUMENTS, MOST_BOUNDS = 64, 500, 16_384
-ELEMENTS = "array<struct<component:int,hash:bigint,position:int>>"
+#: An entry of ``kmers`` holds a position in its lower bits and a hash in the others.
+POSITION_BITS = 31
+HASH_BITS = -(1 << POSITION_BITS)
+MOST = 2**63 - 1
 
 
 def limit_for(n: Column) -> Column:
-    """Hash below which about ``EXPECTED`` of n k-mers lie; the largest number for short texts."""
+    """Hash below which about ``EXPECTED`` of n elements lie; the largest number for short texts."""
     share = F.lit(float(EXPECTED)) / n
-    return F.when(n <= EXPECTED, F.lit(2**63 - 1)).otherwise(((share * 2 - 1) * float(2**63)).cast("long"))
+    return F.when(n <= EXPECTED, F.lit(MOST)).otherwise(((share * 2 - 1) * float(2**63)).cast("long").bitwiseAND(F.lit(HASH_BITS)))
 
 
-def elements(text: Column, limit: Column, before: Column | int = 0) -> Column:
-    """k-mers of a text with a hash up to ``limit``: component, hash and position (``before`` added).
+def kmers(text: Column, before: Column | int = 0) -> Column:
+    """All k-mers of a text in its order: the upper bits of a k-mer's hash, then its position (``before`` added).
 
     The text is cut into chunks that overlap by k - 1, so that reading a k-mer does not walk through the text.
     A text shorter than k is one k-mer.
     """
     chunks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{CHUNK + K - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
 
-    def entry(hashed: Column, position: Column) -> Column:
-        return F.struct(
-            F.pmod(hashed, F.lit(COMPONENTS)).cast("int").alias("component"), hashed.alias("hash"), position.cast("int").alias("position")
-        )
+    def entry(part: Column, position: Column) -> Column:
+        return F.xxhash64(part).bitwiseAND(F.lit(HASH_BITS)) + position
 
-    def chunk(c: Column, j: Column, most: Column, added: Column) -> Column:
+    def chunk(c: Column, start: Column) -> Column:
         starts = F.when(F.char_length(c) >= K, F.sequence(F.lit(1), F.char_length(c) - (K - 1))).otherwise(F.array().cast("array<int>"))
-        low = F.filter(starts, lambda i: F.xxhash64(F.substr(c, i, F.lit(K))) <= most)
-        return F.transform(low, lambda i: entry(F.xxhash64(F.substr(c, i, F.lit(K))), j * CHUNK + i + added))
+        return F.transform(starts, lambda i: entry(F.substr(c, i, F.lit(K)), start + i))
+
+    before = (before if isinstance(before, Column) else F.lit(before)).cast("long")
+    several = let(before, lambda added: F.flatten(F.transform(chunks, lambda c, j: let(added + j * CHUNK, lambda start: chunk(c, start)))))
+    whole = F.array(entry(text, before + 1))
+    return F.when(F.char_length(text) >= K, several).when(F.char_length(text) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two entries of ``kmers`` are the same k-mer."""
+    return x.bitwiseAND(F.lit(HASH_BITS)) == y.bitwiseAND(F.lit(HASH_BITS))
+
+
+def repeats(ordered: Column) -> Column:
+    """Entries that are not the first of their k-mer, of sorted ``kmers``. ``ordered`` is read per entry, so it should be a column."""
+    return F.filter(ordered, lambda x, i: (i > 0) & _alike(x, F.get(ordered, i - 1)))
+
+
+def elements(ordered: Column, again: Column, limit: Column) -> Column:
+    """k-mers with their occurrence numbers, of a hash up to ``limit``: component, hash of both, and position.
+
+    ``ordered``: the sorted ``kmers`` of a text; ``again``: its ``repeats``. The first occurrence has the hash of its k-mer, a
+    further one that of the k-mer's hash and the number, so any of them is as likely to be low.
+    """
+
+    def entry(hashed: Column, position: Column) -> Column:
+        component = F.pmod(F.shiftright(hashed, POSITION_BITS), F.lit(COMPONENTS)).cast("int")
+        return F.struct(component.alias("component"), hashed.alias("hash"), position.cast("int").alias("position"))
 
-    before = before if isinstance(before, Column) else F.lit(before)
-    several = let(limit, lambda most: let(before, lambda added: F.flatten(F.transform(chunks, lambda c, j: chunk(c, j, most, added)))))
-    whole = F.array(entry(F.xxhash64(text), F.lit(1) + before))
-    return F.when(F.char_length(text) >= K, several).when(F.char_length(text) > 0, whole).otherwise(F.array().cast(ELEMENTS))
+    def single(x: Column) -> Column:
+        return entry(x.bitwiseAND(F.lit(HASH_BITS)), x.bitwiseAND(F.lit(~HASH_BITS)))
+
+    def further(o: Column, s: Column, e: Column, most: Column) -> Column:
+        def numbered(kmer: Column) -> Column:
+            hashed = lambda i: F.xxhash64(kmer, i - s + 2).bitwiseAND(F.lit(HASH_BITS))
+            low = F.filter(F.sequence(s, e - 1), lambda i: hashed(i) <= most)
+            return F.transform(low, lambda i: entry(hashed(i), F.get(o, i).bitwiseAND(F.lit(~HASH_BITS))))
+
+        return let(F.get(o, s).bitwiseAND(F.lit(HASH_BITS)), numbered)
+
+    def runs(o: Column, most: Column) -> Column:
+        places = F.when(F.size(o) > 0, F.sequence(F.lit(0), F.size(o) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | ~_alike(F.get(o, i), F.get(o, F.greatest(i - 1, F.lit(0)))))
+        return let(starts, lambda b: F.flatten(F.transform(b, lambda s, j: further(o, s, F.coalesce(F.get(b, j + 1), F.size(o)), most))))
+
+    low = let(limit, lambda most: F.filter(ordered, lambda x: x.bitwiseAND(F.lit(HASH_BITS)) <= most))
+    first = let(low, lambda o: F.filter(o, lambda x, i: (i == 0) | ~_alike(x, F.get(o, F.greatest(i - 1, F.lit(0))))))
+    later = let(limit, lambda most: let(again, lambda o: runs(o, most)))
+    return F.concat(F.transform(first, single), later)
 
 
 def picked(ordered: Column) -> Column:
@@ -52,20 +95,32 @@ def picked(ordered: Column) -> Column:
     return let(ordered, lambda o: F.filter(o, lambda x, i: (i < PICKED) | other(o, x, i)))
 
 
-def components(chosen: Column) -> Column:
-    """Hash of each component's k-mers with their occurrence numbers, in the order of the text; -1 for an empty one.
+def filled(chosen: Column, every: Column) -> Column:
+    """``chosen`` with new picks for each component that lacks some: the first of ``every`` element by a hash salted with the component."""
 
-    Elements of one k-mer stand together and in text order, so a second element of equal hash is the second
-    occurrence.
-    """
+    def salted(c: Column) -> Column:
+        marked = F.transform(every, lambda x: F.struct(F.xxhash64(c, x["hash"]).alias("salted"), x["hash"].alias("hash"), x["position"].alias("position")))
+        first = F.slice(F.array_sort(marked), 1, PICKED)
+        return F.transform(first, lambda x: F.struct(c.alias("component"), x["hash"].alias("hash"), x["position"].alias("position")))
+
+    def with_salted(o: Column) -> Column:
+        # picks stand in the order of components, so a component is complete if its pick stands ``PICKED - 1`` places earlier too
+        last = F.filter(o, lambda x, i: (i >= PICKED - 1) & (F.get(o, F.greatest(i - (PICKED - 1), F.lit(0)))["component"] == x["component"]))
+        complete = F.transform(last, lambda x: x["component"])
+        short = F.array_except(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), complete)
+        kept = F.filter(o, lambda x: F.array_contains(complete, x["component"]))
+        return F.array_sort(F.concat(kept, F.flatten(F.transform(short, salted))))
+
+    return let(chosen, with_salted)
+
+
+def components(chosen: Column) -> Column:
+    """Hash of each component's elements in the order of the text."""
 
     def hashed(o: Column, x: Column, i: Column) -> Column:
         y = F.get(o, i + 1)
-        again = F.when(y["hash"] == x["hash"], 2).otherwise(1)
-        pair = F.when(x["position"] < y["position"], F.xxhash64(x["hash"], F.lit(1), y["hash"], again)).otherwise(
-            F.xxhash64(y["hash"], again, x["hash"], F.lit(1))
-        )
-        value = F.when(y["component"] == x["component"], pair).otherwise(F.xxhash64(x["hash"], F.lit(1)))
+        pair = F.when(x["position"] < y["position"], F.xxhash64(x["hash"], y["hash"])).otherwise(F.xxhash64(y["hash"], x["hash"]))
+        value = F.when(y["component"] == x["component"], pair).otherwise(F.xxhash64(x["hash"]))
         found = F.struct(x["component"].alias("component"), F.pmod(value, F.lit(2**32 - 1)).alias("value"))
         return F.when((i == 0) | (F.get(o, i - 1)["component"] != x["component"]), found)
 
@@ -84,20 +139,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def add_fingerprint(rows: DataFrame, text: str, name: str, known: Column | None = None) -> DataFrame:
-    """Column ``name``: the components of ``text``.
+def add_fingerprint(rows: DataFrame, found: str, name: str) -> DataFrame:
+    """Column ``name``: the components of a text, of which column ``found`` holds all ``kmers``.
 
-    From a long text only k-mers with low hashes are read, as the smallest of each component have; wherever a component
-    lacks ``PICKED`` of them, all k-mers of the text are. ``known``: the low k-mers, if the caller has them.
+    Of a long text only elements with low hashes are taken, as the smallest of each component have; wherever a component
+    lacks ``PICKED`` of them, all are. Components that still lack some, as in short texts, pick from all elements by a hash of their own,
+    so every text with ``PICKED`` k-mers fills all components.
     """
-    t = F.col(text)
-    low = known if known is not None else elements(t, limit_for(F.char_length(t)))
-    rows = rows.withColumn("__low", F.array_sort(low))
-    rows = rows.withColumn("__low", picked(F.col("__low")))
-    lacks = (F.size("__low") < COMPONENTS * PICKED) & (F.char_length(t) > EXPECTED)
-    every = F.when(lacks, F.array_sort(elements(t, F.lit(2**63 - 1))))
-    rows = rows.withColumn("__low", F.when(lacks, picked(every)).otherwise(F.col("__low")))
-    return rows.withColumn(name, components(F.col("__low"))).drop("__low")
+    ordered, again, n = F.col("__ordered"), F.col("__again"), F.size(found)
+    rows = rows.withColumn("__ordered", F.sort_array(F.col(found)))
+    rows = rows.withColumn("__again", repeats(ordered))
+    rows = rows.withColumn("__some", elements(ordered, again, limit_for(n)))
+    rows = rows.withColumn("__picked", picked(F.array_sort("__some")))
+    lacks = F.size("__picked") < COMPONENTS * PICKED
+    rows = rows.withColumn("__every", F.when(lacks & (n > EXPECTED), elements(ordered, again, F.lit(MOST))).when(lacks & (n > 0), F.col("__some")))
+    rows = rows.withColumn("__picked", F.when(lacks & (n > EXPECTED), picked(F.array_sort("__every"))).otherwise(F.col("__picked")))
+    rows = rows.withColumn("__picked", F.when(lacks & (n > 0), filled(F.col("__picked"), F.col("__every"))).otherwise(F.col("__picked")))
+    return rows.withColumn(name, components(F.col("__picked"))).drop("__ordered", "__again", "__some", "__every", "__picked")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -106,7 +164,8 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     Null and empty texts have no components. Equal texts have equal ones.
     """
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__t"))
-    return add_fingerprint(rows, "__t", "components").drop("__t")
+    rows = rows.withColumn("__kmers", kmers(F.col("__t")))
+    return add_fingerprint(rows, "__kmers", "components").drop("__t", "__kmers")
 
 
 def _bounds(ids: DataFrame) -> list:
@@ -155,18 +214,13 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     part = F.floor(n / 3).cast("int")
     rows = rows.withColumn("head", F.left(F.lead("t").over(order), part))
     rows = rows.withColumn("edited", F.concat(F.left("t", n - part), F.coalesce(F.col("head"), F.lit(""))))
-    rows = rows.withColumn("low", elements(F.col("t"), limit_for(n)))
+    rows = rows.withColumn("kmers", kmers(F.col("t")))
     # the edit has the k-mers of what it keeps, and those that touch its new end
-    kept = n - part
-    seam = F.greatest(kept - (K - 1), F.lit(0))
-    fresh = elements(F.substr("edited", seam + 1, n), limit_for(n), seam)
-    same_limit = (F.char_length("edited") == n) & (n >= 2 * K)
-    edited_low = F.when(same_limit, F.concat(let(seam, lambda last: F.filter("low", lambda x: x["position"] <= last)), fresh)).otherwise(
-        elements(F.col("edited"), limit_for(F.char_length("edited")))
-    )
-    rows = rows.withColumn("edited_low", edited_low)
-    rows = add_fingerprint(rows, "t", "own", F.col("low"))
-    rows = add_fingerprint(rows, "edited", "other", F.col("edited_low"))
+    seam = F.greatest(n - part - (K - 1), F.lit(0))
+    fresh = kmers(F.substr("edited", seam + 1, F.char_length("edited")), seam)
+    rows = rows.withColumn("edited_kmers", F.concat(F.slice("kmers", F.lit(1), seam), fresh))
+    rows = add_fingerprint(rows, "kmers", "own")
+    rows = add_fingerprint(rows, "edited_kmers", "other")
     rows = rows.select("id", "window", "guest", "t", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other")
     rows = rows.withColumn("following", F.lead("own").over(order)).where(~F.col("guest"))
     return rows.select(

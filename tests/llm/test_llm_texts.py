@@ -247,3 +247,18 @@ def test_fingerprints_of_repetitive_texts(spark, monkeypatch):
     monkeypatch.setattr(order_minhash, "EXPECTED", 10**9)
     whole = {r.doc_id: r.components for r in order_minhash.fingerprints(table(spark, texts)).collect()}
     assert limited == whole
+
+
+def test_fingerprints_of_short_texts_and_doubled_blocks(spark):
+    """Texts of two k-mers or more fill all components, and blocks that each occur twice still show their order."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9)))
+    blocks = [" ".join(word() for _ in range(6)) + ". " for _ in range(15)]
+    shuffled = blocks[:]
+    rng.shuffle(shuffled)
+    line = " ".join(word() for _ in range(5))
+    texts = ["".join(x + x for x in blocks), "".join(x + x for x in shuffled), line, line + " more", "ninechars", (line + "\n") * 40]
+    rows = {r.doc_id: r.components for r in order_minhash.fingerprints(table(spark, texts)).collect()}
+    assert all(len(x) == 64 for x in rows.values())
+    alike = lambda a, b: len(set(rows[a]) & set(rows[b])) / 64
+    assert alike(0, 1) < 0.8 < alike(0, 0) and alike(2, 3) > 0.4

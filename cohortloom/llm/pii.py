@@ -177,9 +177,11 @@ def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[S
         tape.rewrite(e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1])
     shown = plain_spans(tape.text)
     spelled = [m.span() for m in re.finditer(r"(?<![0-9+])[0-9]{10,15}(?![0-9])", tape.text) if sum(tape.edited[m.start() : m.end()]) >= 7]
+    # digits of a card are no phone number
+    spelled = [(a, b) for a, b in spelled if not any(start < b and a < end for start, end in shown["card"])]
     taken = {k: sorted(v) for k, v in plain.items()}
     for kind in KINDS:
-        for start, end in sorted({*shown[kind], *(spelled if kind == "phone" and not shown["card"] else [])}):
+        for start, end in sorted({*shown[kind], *(spelled if kind == "phone" else [])}):
             first, last = tape.source(start, end)
             if text[first:last] == tape.text[start:end]:
                 continue

@@ -262,3 +262,11 @@ def test_fingerprints_of_short_texts_and_doubled_blocks(spark):
     assert all(len(x) == 64 for x in rows.values())
     alike = lambda a, b: len(set(rows[a]) & set(rows[b])) / 64
     assert alike(0, 1) < 0.8 < alike(0, 0) and alike(2, 3) > 0.4
+
+
+def test_spelled_phone_far_from_a_card():
+    phone, card = "five five five one two three four five six seven", "4111 1111 1111 1111"
+    for text in (f"{phone} ok. {'words ' * 2000}card {card}.", f"card {card}. {'words ' * 2000}call {phone} ok"):
+        plain = pii.plain_spans(text)
+        found = pii.disguised_spans(text, plain)
+        assert [text[a:b] for a, b in found["phone"]] == [phone] and [text[a:b] for a, b in plain["card"]] == [card]

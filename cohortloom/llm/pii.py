@@ -91,7 +91,8 @@ _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
 _PART = r"[A-Za-z0-9_%+-]+"
 SPOKEN = re.compile(
-    rf"(?<![\w.%+-]){_PART}(?:(?:\.| (?:{_DOT}) ){_PART}){{0,4}} (?P<at>{_AT}) [A-Za-z0-9-]+(?: (?:{_DOT}) [A-Za-z0-9-]+){{1,4}}(?![\w@])",
+    rf"(?<![\w.%+-]){_PART}(?:(?:\.| (?:{_DOT}) ){_PART}){{0,4}}(?P<at> (?:{_AT}) |@)[A-Za-z0-9-]+(?P<dot>\.| (?:{_DOT}) )[A-Za-z0-9-]+"
+    rf"(?:(?:\.| (?:{_DOT}) )[A-Za-z0-9-]+){{0,3}}(?![\w@])",
     re.IGNORECASE,
 )
 SPOKEN_SIGN = re.compile(rf" (?:(?P<at>{_AT})|(?P<dot>{_DOT})) ", re.IGNORECASE)
@@ -149,11 +150,20 @@ def _bracketed(text: str) -> Iterable[tuple[int, int, str]]:
         yield m.start(), m.end(), "@" if m["at"] else "."
 
 
-def _spoken(text: str) -> Iterable[tuple[int, int, str]]:
-    """Whole addresses in words: signs between spaces, at least the last of them before a top domain."""
-    for pattern in (SPOKEN, SPOKEN_NUMBERS):
-        for m in pattern.finditer(text):
-            yield from ((m.start() + s.start(), m.start() + s.end(), "@" if s["at"] else ".") for s in SPOKEN_SIGN.finditer(m[0]))
+def _spoken(text: str, edited: bytearray) -> Iterable[tuple[int, int, str]]:
+    """Addresses with signs in words. Other signs may stand as such, but a domain after a spoken "at" needs a sign that was disguised.
+
+    An address that stands whole in the source does not go on in words.
+    """
+    for m in SPOKEN.finditer(text):
+        signs = list(SPOKEN_SIGN.finditer(m[0]))
+        whole = m["at"] == "@" and m["dot"] == "." and not edited[m.start("at")] and not edited[m.start("dot")]
+        after = m.end("at") - m.start()
+        disguised = m["at"] == "@" or any(s.start() >= after for s in signs) or any(edited[k] for k in range(m.end("at"), m.end()) if text[k] == ".")
+        if disguised and not whole:
+            yield from ((m.start() + s.start(), m.start() + s.end(), "@" if s["at"] else ".") for s in signs)
+    for m in SPOKEN_NUMBERS.finditer(text):
+        yield from ((m.start() + s.start(), m.start() + s.end(), ".") for s in SPOKEN_DOT.finditer(m[0]))
 
 
 def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -173,7 +183,7 @@ def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[S
         return found
     tape = Tape(text)
     for step in steps:
-        edits = sorted(step(tape.text))
+        edits = sorted(step(tape.text, tape.edited) if step is _spoken else step(tape.text))
         tape.rewrite(e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1])
     shown = plain_spans(tape.text)
     spelled = [m.span() for m in re.finditer(r"(?<![0-9+])[0-9]{10,15}(?![0-9])", tape.text) if sum(tape.edited[m.start() : m.end()]) >= 7]

@@ -270,3 +270,15 @@ def test_spelled_phone_far_from_a_card():
         plain = pii.plain_spans(text)
         found = pii.disguised_spans(text, plain)
         assert [text[a:b] for a, b in found["phone"]] == [phone] and [text[a:b] for a, b in plain["card"]] == [card]
+
+
+@pytest.mark.parametrize("part", ["john (at) example dot com", "john@example dot com", "john at example [dot] com", "john.doe (at) mail.example dot com"])
+def test_mixed_disguises_of_addresses(part):
+    text = f"write: {part}, now"
+    found = pii.disguised_spans(text, pii.plain_spans(text))
+    assert [(k, text[a:b]) for k, v in found.items() for a, b in v] == [("email", part)]
+
+
+def test_plain_domains_after_at_are_no_addresses():
+    for text in ("meet us at example.com and come (at) noon", "write to a.b@example.org dot the i"):
+        assert not any(pii.disguised_spans(text, pii.plain_spans(text)).values())

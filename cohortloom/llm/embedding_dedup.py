@@ -1,4 +1,4 @@
-"""Near duplicates of embeddings by sorted projection passes."""
+"""Near duplicates of embeddings by full comparison within labels, in blocks."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ COSINE, WINDOW, BITS = 0.93, 64, 62
 #: Chance wanted that some pass brings a pair at the threshold into one window.
 RECALL = 0.999
 CHUNK = 100
+#: Vectors of a chunk of a label, and of one product with another chunk.
+FULL_CHUNK, FULL_ROWS = 2000, 250
 
 
 def passes_for(largest: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
@@ -66,26 +68,6 @@ def classes_of(vectors: DataFrame, vec: str, label: str, key: str) -> DataFrame:
     return rows.groupBy("kind", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-def coded(classes: DataFrame, passes: int) -> DataFrame:
-    """A row for each class and pass: ``kind`` with the pass, ``code`` (its bits, first plane highest), id and vector."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        for batch in batches:
-            values, ends = batch.column("vector").values.to_numpy(), batch.column("vector").offsets.to_numpy()
-            raw = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            codes = np.zeros((passes, len(raw)), np.int64)
-            for rows, unit in unit_vectors(raw):
-                for turn in range(passes):
-                    codes[turn, rows] = ((unit @ planes(turn, unit.shape[1])) >= 0) @ weights
-            for turn in range(passes):
-                columns = [batch.column("kind"), pa.array(np.full(len(raw), turn, np.int32)), pa.array(codes[turn]), batch.column("id"), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "turn", "code", "id", "vector"])
-
-    rows = classes.select("kind", "id", "vector").mapInArrow(run, "kind long, turn int, code long, id long, vector binary")
-    return rows.select(F.xxhash64("kind", "turn").alias("kind"), "code", "id", "vector")
-
-
 def _stars(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Links of each local component's members with its smallest id."""
     order = np.argsort(ids, kind="stable")
@@ -94,60 +76,6 @@ def _stars(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.column_stack([ids[order], hub])[ids[order] != hub]
 
 
-def window_links(rows: DataFrame, cosine: float, window: int, edges: bool) -> DataFrame:
-    """Links (a, b) of vectors among the next ``window`` rows in the order of kind, code and id.
-
-    ``rows`` must be sorted within its partitions. Only links that join local components are kept, drawn to their smallest member.
-    With ``edges`` the first and last rows of each partition are returned too (``seam`` is set), for a comparison over the border.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        here = TaskContext.get().partitionId()
-        names = ["a", "b", "seam", "kind", "code", "id", "vector"]
-        held: pa.Table | None = None
-        done = 0
-
-        def seam(table: pa.Table, number: int) -> pa.RecordBatch:
-            n, empty = table.num_rows, pa.nulls(table.num_rows, pa.int64())
-            rows_ = table.combine_chunks()
-            columns = [empty, empty, pa.array([number] * n, pa.int64()), *[rows_.column(c).combine_chunks() for c in ("kind", "code", "id", "vector")]]
-            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks else c for c in columns]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if edges and done < window:
-                yield seam(table.slice(0, window - done), here)
-            done += batch.num_rows
-            old = held.num_rows if held is not None else 0
-            table = pa.concat_tables([held, table]) if old else table
-            kind, ids = table.column("kind").to_numpy(), table.column("id").to_numpy()
-            root = np.arange(len(ids))
-            sizes = table.column("vector").to_pylist()
-            for where, unit in unit_vectors(sizes):
-                spot = kind[where]
-                for apart in range(1, min(window, len(where) - 1) + 1):
-                    x = np.arange(max(0, int(np.searchsorted(where, old)) - apart), len(where) - apart)
-                    x = x[spot[x] == spot[x + apart]]
-                    x = x[root[where[x]] != root[where[x + apart]]]
-                    x = x[linked(unit, x, x + apart, cosine)]
-                    for i, j in zip(where[x].tolist(), where[x + apart].tolist(), strict=True):
-                        if root[i] != root[j]:
-                            root[root == root[j]] = root[i]
-            found = _stars(ids, root)
-            empty = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), empty, empty, empty, empty, pa.nulls(len(found), pa.binary())], names)
-            held = table.slice(max(0, table.num_rows - window))
-        if edges and held is not None:
-            yield seam(held, here + 1)
-
-    return rows.mapInArrow(run, "a long, b long, seam long, kind long, code long, id long, vector binary")
-
-
 def link_counts(members: DataFrame, cosine: float) -> DataFrame:
     """``id`` and ``n``: copies of other classes that are linked with each class of a component.
 
@@ -185,31 +113,66 @@ def link_counts(members: DataFrame, cosine: float) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def full_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """Links (a, b) of all pairs of a kind that reach the cosine, found by comparing every pair.
+
+    ``classes``: kind, id, vector. A kind is dealt by a hash into chunks of about ``FULL_CHUNK`` vectors; two chunks meet in a group, in
+    which products of ``FULL_ROWS`` vectors with the others are taken at a time. Only links that join local components leave a group.
+    """
+    chunks = classes.groupBy("kind").agg(F.ceil(F.count("*") / FULL_CHUNK).cast("int").alias("chunks"))
+    rows = classes.join(chunks, "kind").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    rows = rows.select("kind", "id", "vector", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    group = F.xxhash64("kind", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    rows = rows.select(group.alias("group"), F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("side"), "id", "vector")
+    rows = rows.repartition("group").sortWithinPartitions("group", "side", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "group"):
+            group, side, ids = (table.column(c).to_numpy() for c in ("group", "side", "id"))
+            column = table.column("vector").combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            raw = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            root = np.arange(len(ids))
+            for where, unit in unit_vectors(raw):
+                for one in np.unique(group[where]):
+                    spot = np.flatnonzero(group[where] == one)
+                    part = side[where[spot]]
+                    within = part[0] < 0
+                    left = spot if within else spot[part == part[0]]
+                    right = spot if within else spot[part != part[0]]
+                    for k in range(0, len(left), FULL_ROWS):
+                        here = left[k : k + FULL_ROWS]
+                        # the product only finds candidates; the sum that decides is the one that counts links
+                        x, y = np.nonzero(unit[here] @ unit[right].T >= cosine - 1e-9)
+                        x, y = here[x], right[y]
+                        new = (x < y) if within else np.ones(len(x), bool)
+                        new &= root[where[x]] != root[where[y]]
+                        x, y = x[new], y[new]
+                        fit = linked(unit, x, y, cosine)
+                        for i, j in zip(where[x[fit]].tolist(), where[y[fit]].tolist(), strict=True):
+                            if root[i] != root[j]:
+                                root[root == root[j]] = root[i]
+            found = _stars(ids, root)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_vectors(vectors: DataFrame, vec: str = "embedding", label: str = "label", key: str = "vec_id", cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
     """``key``, n_links (other vectors linked directly), component_id (smallest key reachable) and kept of every row.
 
     Vectors of equal, non-null label and length are linked by a cosine of ``cosine`` or more in double precision. Equal vectors
-    are one class, which counts its copies. Each pass sorts the classes by the bits of random planes and compares every one with
-    the next ``window``; links of all passes give the components, and full comparisons inside these the counts.
-    Every pass moves the vectors once; their number follows from the largest label, see ``passes_for``.
+    are one class, which counts its copies. Every pair of a label's classes is compared, in blocks, so no link depends on chance, on
+    how the vectors are spread or on ``window``; the work is quadratic in a label. Links give the components, and full comparisons inside these
+    the counts.
 
     A null label, a vector that is null, empty, zero or holds null or non-finite entries, links with nothing: no links, its own
     component, kept. A null key has a null component and is not kept. Repeated rows count as other vectors; other columns are
     ignored; an empty table stays empty.
     """
-    spark = vectors.sparkSession
     classes = stage(classes_of(vectors, vec, label, key), "classes")
-    sizes = classes.groupBy("kind").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
-    passes, rows = passes_for(sizes["n"] or 0, cosine, window), sizes["all"] or 0
-    order = ["kind", "code", "id"]
-    # a partition holds many windows, so that few pairs lie over a border
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows * passes // (8 * window)))
-    parts = max(parts, rows * passes // 250_000)
-    sorted_ = coded(classes, passes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stage(window_links(sorted_, cosine, window, True), "windows")
-    over = found.where("seam is not null").select(F.xxhash64("kind", "seam").alias("kind"), "code", "id", "vector")
-    over = over.repartition("kind").sortWithinPartitions(*order)
-    links = found.where("a is not null").select("a", "b").union(window_links(over, cosine, window, False).select("a", "b"))
+    links = full_links(classes.select("kind", "id", "vector"), cosine)
     joined = stage(components(stage(links.distinct(), "links")), "components").withColumnRenamed("node", "id")
     members = classes.join(joined, "id").join(joined.groupBy("component").agg(F.count("*").alias("size")), "component")
     counts = link_counts(members.select("component", "size", "id", "vector", "copies"), cosine)

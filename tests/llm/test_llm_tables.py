@@ -263,3 +263,22 @@ def test_pipeline(spark, tmp_path):
 def test_empty_pipeline(spark, tmp_path):
     spark.read.parquet(f"{SF_DIR}/documents.parquet").where(F.lit(False)).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_vectors_of_a_clustered_label(spark):
+    """Pairs above the threshold are linked in a label whose vectors all have a cosine of about 0.85."""
+    rng = np.random.default_rng(6)
+    n, size = 4000, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(np.sqrt(0.85) * unit(rng.standard_normal(size)) + np.sqrt(0.15) * unit(rng.standard_normal((n, size))))
+    side = rng.standard_normal((300, size))
+    side = unit(side - (side * base[:300]).sum(1, keepdims=True) * base[:300])
+    vectors = np.concatenate([base, 0.935 * base[:300] + np.sqrt(1 - 0.935**2) * side]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), 1, "", "") for i, v in enumerate(vectors)], VECTORS).repartition(5)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(table).collect()}
+    exact = unit(vectors.astype(float))
+    near = exact @ exact.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 600
+    group = closure(list(zip(*np.nonzero(near), strict=True)), range(len(vectors)))
+    assert found == {i: (int(near[i].sum()), group[i]) for i in range(len(vectors))}

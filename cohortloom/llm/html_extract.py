@@ -82,7 +82,7 @@ class Reader(HTMLParser):
         if tag in BLOCKS:
             found = ["element", f"tag:{tag}"]
             for name in ("class", "id", "role", "itemprop"):
-                words = TOKEN.findall(given.get(name) or "")[:16]
+                words = TOKEN.findall(given.get(name) or "")
                 found += [f"{'role' if name == 'role' else 'name'}:{w.lower()}" for w in words]
             style = (given.get("style") or "").replace(" ", "").lower()
             if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in style:

@@ -282,3 +282,9 @@ def test_near_vectors_of_a_clustered_label(spark):
     assert near.sum() >= 600
     group = closure(list(zip(*np.nonzero(near), strict=True)), range(len(vectors)))
     assert found == {i: (int(near[i].sum()), group[i]) for i in range(len(vectors))}
+
+
+def test_all_class_words_are_read():
+    reader = html_extract.Reader()
+    reader.feed(f'<div class="{" ".join(f"u{i}" for i in range(40))} advert">words</div>')
+    assert any("name:advert" in found for found in reader.page.features)

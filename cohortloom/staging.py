@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
@@ -93,3 +93,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def broadcast_if_bytes(df: DataFrame, max_bytes: int = 32 * 1024 * 1024) -> DataFrame:
+    """Broadcast hint for ``df`` only when the size of its values, as measured, is within ``max_bytes``.
+
+    Texts and arrays count with what they hold (as JSON for nested values), numbers and the row itself with 8 bytes. Call
+    this on staged tables or on small aggregates: measuring runs ``df``.
+    """
+    def size(field) -> Column:
+        column, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        if kind in ("array", "struct", "map", "variant"):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 8
+        return F.lit(8)
+
+    total = df.select(F.sum(sum((size(f) for f in df.schema.fields), F.lit(8)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df

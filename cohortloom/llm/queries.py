@@ -6,16 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortloom.llm.bpe_count import token_counts
+from cohortloom.llm.decontaminate import contaminated
 from cohortloom.llm.embedding_dedup import near_vectors
 from cohortloom.llm.html_extract import main_text
 from cohortloom.llm.langid import languages
+from cohortloom.llm.merkle import manifest
 from cohortloom.llm.near_dedup import near_duplicates
-from cohortloom.llm.oracles import NEAR_DUPLICATES, NEAR_VECTORS
+from cohortloom.llm.oracles import DECONTAMINATION, MANIFEST, NEAR_DUPLICATES, NEAR_VECTORS, VECTOR_CODES
 from cohortloom.llm.order_minhash import edited_fingerprints
 from cohortloom.llm.packing import pack_documents
 from cohortloom.llm.pii import personal_data
 from cohortloom.llm.piece_bpe import encoding_digests
 from cohortloom.llm.secrets import secret_spans
+from cohortloom.llm.vector_codes import vector_codes
 
 WORDS, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -64,10 +67,26 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing, "op2_main_text": op2_main_text, "op3_personal_data": op3_personal_data,
     "op4_near_duplicates": op4_near_duplicates, "op5_languages": op5_languages, "op6_order_minhash": op6_order_minhash,
     "op7_token_counts": op7_token_counts, "op8_piece_encoding": op8_piece_encoding, "op9_secrets": op9_secrets,
-    "op10_near_vectors": op10_near_vectors,
+    "op10_near_vectors": op10_near_vectors, "op11_decontamination": op11_decontamination, "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_vector_codes": op13_vector_codes,
+}
+ORACLES: dict[str, str] = {
+    "op4_near_duplicates": NEAR_DUPLICATES, "op10_near_vectors": NEAR_VECTORS, "op11_decontamination": DECONTAMINATION,
+    "op12_merkle_manifest": MANIFEST, "op13_vector_codes": VECTOR_CODES,
 }
-ORACLES: dict[str, str] = {"op4_near_duplicates": NEAR_DUPLICATES, "op10_near_vectors": NEAR_VECTORS}

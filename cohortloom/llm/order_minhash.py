@@ -6,27 +6,34 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cohortloom.llm.columns import let
 
 #: Characters of a k-mer, components of a fingerprint, k-mers of a component, and elements taken from a long text on average.
 K, COMPONENTS, PICKED, EXPECTED = 8, 64, 2, 800
-#: k-mers that start in one chunk of a text, and documents of one neighbour window.
-CHUNK, WINDOW_DOCUMENTS, MOST_BOUNDS = 64, 500, 16_384
-#: An entry of ``kmers`` holds a position in its lower bits and a hash in the others.
-POSITION_BITS = 31
+#: k-mers that start in one chunk of a text, documents of one neighbour window and of one task, and the most windows.
+CHUNK, WINDOW_DOCUMENTS, TASK_DOCUMENTS, MOST_BOUNDS = 32, 500, 2_500, 131_072
+#: An entry is one long: component in the highest bits, the rest of a hash, and a position in the text in the lowest.
+POSITION_BITS, COMPONENT_BITS = 31, 6
 HASH_BITS = -(1 << POSITION_BITS)
-MOST = 2**63 - 1
+PLACE = ~HASH_BITS
+WITHIN = (1 << (64 - COMPONENT_BITS)) - 1
+
+
+def no_entries() -> Column:
+    """An empty array whose type allows no nulls, so that arrays made with it are sorted as plain longs."""
+    return F.slice(F.array(F.lit(0).cast("long")), 1, 0)
 
 
 def limit_for(n: Column) -> Column:
-    """Hash below which about ``EXPECTED`` of n elements lie; the largest number for short texts."""
-    share = F.lit(float(EXPECTED)) / n
-    return F.when(n <= EXPECTED, F.lit(MOST)).otherwise(((share * 2 - 1) * float(2**63)).cast("long").bitwiseAND(F.lit(HASH_BITS)))
+    """Largest place within a component (hash and position) that about ``EXPECTED`` of n elements do not exceed; the largest of all for short texts."""
+    share = (F.lit(float(EXPECTED)) / n * float(1 << (64 - COMPONENT_BITS - POSITION_BITS))).cast("long")
+    return F.when(n <= EXPECTED, F.lit(WITHIN)).otherwise(F.shiftleft(share, POSITION_BITS) + F.lit(PLACE))
 
 
 def kmers(text: Column, before: Column | int = 0) -> Column:
-    """All k-mers of a text in its order: the upper bits of a k-mer's hash, then its position (``before`` added).
+    """Entries of all k-mers of a text in its order: the upper bits of a k-mer's hash, then its position (``before`` added).
 
     The text is cut into chunks that overlap by k - 1, so that reading a k-mer does not walk through the text.
     A text shorter than k is one k-mer.
@@ -37,129 +44,149 @@ def kmers(text: Column, before: Column | int = 0) -> Column:
         return F.xxhash64(part).bitwiseAND(F.lit(HASH_BITS)) + position
 
     def chunk(c: Column, start: Column) -> Column:
-        starts = F.when(F.char_length(c) >= K, F.sequence(F.lit(1), F.char_length(c) - (K - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: entry(F.substr(c, i, F.lit(K)), start + i))
+        # a chunk is too short for a k-mer only where the one before it holds the text's last
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(c) - (K - 1), F.lit(1)))
+        found = F.transform(starts, lambda i: entry(F.substr(c, i, F.lit(K)), start + i))
+        return F.when(F.char_length(c) >= K, found).otherwise(no_entries())
 
     before = (before if isinstance(before, Column) else F.lit(before)).cast("long")
     several = let(before, lambda added: F.flatten(F.transform(chunks, lambda c, j: let(added + j * CHUNK, lambda start: chunk(c, start)))))
     whole = F.array(entry(text, before + 1))
-    return F.when(F.char_length(text) >= K, several).when(F.char_length(text) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.char_length(text) >= K, several).when(F.char_length(text) > 0, whole).otherwise(no_entries())
 
 
-def _alike(x: Column, y: Column) -> Column:
-    """Whether two entries of ``kmers`` are the same k-mer."""
-    return x.bitwiseAND(F.lit(HASH_BITS)) == y.bitwiseAND(F.lit(HASH_BITS))
+def _same(x: Column, y: Column, bits: int) -> Column:
+    """Whether two entries agree above their lowest ``bits``."""
+    return F.shiftright(x.bitwiseXOR(y), bits) == 0
 
 
-def repeats(ordered: Column) -> Column:
-    """Entries that are not the first of their k-mer, of sorted ``kmers``. ``ordered`` is read per entry, so it should be a column."""
-    return F.filter(ordered, lambda x, i: (i > 0) & _alike(x, F.get(ordered, i - 1)))
+def _again(x: Column, o: Column, i: Column) -> Column:
+    """Whether an entry's k-mer is that of the entry before it, of sorted entries; null for the first one."""
+    return _same(x, F.get(o, i - 1), POSITION_BITS)
 
 
-def elements(ordered: Column, again: Column, limit: Column) -> Column:
-    """k-mers with their occurrence numbers, of a hash up to ``limit``: component, hash of both, and position.
+def low(ordered: Column, limit: Column) -> Column:
+    """Of sorted ``kmers``, those of a place up to the limit, and all repeats. Both are read per entry, so they should be columns."""
+    return F.filter(ordered, lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) <= limit) | _again(x, ordered, i))
 
-    ``ordered``: the sorted ``kmers`` of a text; ``again``: its ``repeats``. The first occurrence has the hash of its k-mer, a
-    further one that of the k-mer's hash and the number, so any of them is as likely to be low.
-    """
 
-    def entry(hashed: Column, position: Column) -> Column:
-        component = F.pmod(F.shiftright(hashed, POSITION_BITS), F.lit(COMPONENTS)).cast("int")
-        return F.struct(component.alias("component"), hashed.alias("hash"), position.cast("int").alias("position"))
+def repeats(found: Column, limit: Column) -> Column:
+    """The entries of ``low`` that are not the first of their k-mer: one of a larger place is there for no other reason."""
+    return F.filter(found, lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) > limit) | _again(x, found, i))
 
-    def single(x: Column) -> Column:
-        return entry(x.bitwiseAND(F.lit(HASH_BITS)), x.bitwiseAND(F.lit(~HASH_BITS)))
 
-    def further(o: Column, s: Column, e: Column, most: Column) -> Column:
-        def numbered(kmer: Column) -> Column:
-            hashed = lambda i: F.xxhash64(kmer, i - s + 2).bitwiseAND(F.lit(HASH_BITS))
-            low = F.filter(F.sequence(s, e - 1), lambda i: hashed(i) <= most)
-            return F.transform(low, lambda i: entry(hashed(i), F.get(o, i).bitwiseAND(F.lit(~HASH_BITS))))
+def _element(x: Column, number: Column) -> Column:
+    """Element of a repeat: hash of the k-mer's hash and the occurrence number, and the position."""
+    return F.xxhash64(x.bitwiseAND(F.lit(HASH_BITS)), number).bitwiseAND(F.lit(HASH_BITS)) + x.bitwiseAND(F.lit(PLACE))
 
-        return let(F.get(o, s).bitwiseAND(F.lit(HASH_BITS)), numbered)
 
-    def runs(o: Column, most: Column) -> Column:
-        places = F.when(F.size(o) > 0, F.sequence(F.lit(0), F.size(o) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda i: (i == 0) | ~_alike(F.get(o, i), F.get(o, F.greatest(i - 1, F.lit(0)))))
-        return let(starts, lambda b: F.flatten(F.transform(b, lambda s, j: further(o, s, F.coalesce(F.get(b, j + 1), F.size(o)), most))))
+def _up_to(found: Column, limit: Column) -> Column:
+    return F.filter(found, lambda x: x.bitwiseAND(F.lit(WITHIN)) <= limit)
 
-    low = let(limit, lambda most: F.filter(ordered, lambda x: x.bitwiseAND(F.lit(HASH_BITS)) <= most))
-    first = let(low, lambda o: F.filter(o, lambda x, i: (i == 0) | ~_alike(x, F.get(o, F.greatest(i - 1, F.lit(0))))))
-    later = let(limit, lambda most: let(again, lambda o: runs(o, most)))
-    return F.concat(F.transform(first, single), later)
 
+def seconds(again: Column, limit: Column) -> Column:
+    """Elements of second occurrences, the first ones of each k-mer in ``repeats``, up to the limit."""
+    own = F.filter(again, lambda x, i: ~F.coalesce(_again(x, again, i), F.lit(False)))
+    return _up_to(F.transform(own, lambda x: _element(x, F.lit(2))), limit)
 
-def picked(ordered: Column) -> Column:
-    """The ``PICKED`` first elements of each component of an array in the order of component, hash and position."""
-    other = lambda o, x, i: F.get(o, i - PICKED)["component"] != x["component"]
-    return let(ordered, lambda o: F.filter(o, lambda x, i: (i < PICKED) | other(o, x, i)))
 
+def numbered(more: Column, limit: Column) -> Column:
+    """Elements of third and further occurrences, which are ``more`` in the order of their k-mers, up to the limit."""
+    places = F.when(F.size(more) > 0, F.sequence(F.lit(0), F.size(more) - 1)).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
+    starts = F.filter(places, lambda i: ~F.coalesce(_again(F.get(more, i), more, i), F.lit(False)))
+    run = lambda s, e: _up_to(F.transform(F.slice(more, s + 1, e - s), lambda x, i: _element(x, i + 3)), limit)
+    runs = let(starts, lambda b: F.flatten(F.transform(b, lambda s, j: run(s, F.coalesce(F.get(b, j + 1), F.size(more))))))
+    return F.when(F.size(more) > 0, runs).otherwise(no_entries())
 
-def filled(chosen: Column, every: Column) -> Column:
-    """``chosen`` with new picks for each component that lacks some: the first of ``every`` element by a hash salted with the component."""
 
-    def salted(c: Column) -> Column:
-        marked = F.transform(every, lambda x: F.struct(F.xxhash64(c, x["hash"]).alias("salted"), x["hash"].alias("hash"), x["position"].alias("position")))
-        first = F.slice(F.array_sort(marked), 1, PICKED)
-        return F.transform(first, lambda x: F.struct(c.alias("component"), x["hash"].alias("hash"), x["position"].alias("position")))
+def picked(elements: Column) -> Column:
+    """The ``PICKED`` first elements of each component, of sorted elements."""
+    return F.filter(elements, lambda x, i: ~F.coalesce(_same(x, F.get(elements, i - PICKED), 64 - COMPONENT_BITS), F.lit(False)))
+
+
+def _component(x: Column) -> Column:
+    return F.shiftright(x, 64 - COMPONENT_BITS) + COMPONENTS // 2
 
-    def with_salted(o: Column) -> Column:
-        # picks stand in the order of components, so a component is complete if its pick stands ``PICKED - 1`` places earlier too
-        last = F.filter(o, lambda x, i: (i >= PICKED - 1) & (F.get(o, F.greatest(i - (PICKED - 1), F.lit(0)))["component"] == x["component"]))
-        complete = F.transform(last, lambda x: x["component"])
-        short = F.array_except(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), complete)
-        kept = F.filter(o, lambda x: F.array_contains(complete, x["component"]))
-        return F.array_sort(F.concat(kept, F.flatten(F.transform(short, salted))))
 
-    return let(chosen, with_salted)
+def _value(x: Column, y: Column) -> Column:
+    """Hash of two elements in the order of the text, or of the only one."""
+    p, q = (e.bitwiseAND(F.lit(PLACE)) for e in (x, y))
+    a, b = (e.bitwiseAND(F.lit(HASH_BITS)) for e in (x, y))
+    return F.pmod(F.when(y.isNull(), F.xxhash64(a)).when(p < q, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a)), F.lit(2**32 - 1))
 
 
-def components(chosen: Column) -> Column:
-    """Hash of each component's elements in the order of the text."""
+def complete(picks: Column) -> Column:
+    """Components that have all their picks: component in the upper half of a long, hash of its elements in the lower."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(picks) - 1), lambda i: F.coalesce(_same(F.get(picks, i), F.get(picks, i + PICKED - 1), 64 - COMPONENT_BITS), F.lit(False)))
 
-    def hashed(o: Column, x: Column, i: Column) -> Column:
-        y = F.get(o, i + 1)
-        pair = F.when(x["position"] < y["position"], F.xxhash64(x["hash"], y["hash"])).otherwise(F.xxhash64(y["hash"], x["hash"]))
-        value = F.when(y["component"] == x["component"], pair).otherwise(F.xxhash64(x["hash"]))
-        found = F.struct(x["component"].alias("component"), F.pmod(value, F.lit(2**32 - 1)).alias("value"))
-        return F.when((i == 0) | (F.get(o, i - 1)["component"] != x["component"]), found)
+    def entry(x: Column, y: Column) -> Column:
+        return F.shiftleft(_component(x), 32) + _value(x, y)
+
+    found = F.transform(starts, lambda i: F.coalesce(entry(F.get(picks, i), F.get(picks, i + 1)), F.lit(0).cast("long")))
+    return F.when(F.size(picks) > 0, found).otherwise(no_entries())
+
+
+def filled(done: Column, every: Column) -> Column:
+    """``done`` with each lacking component: the ``PICKED`` first of ``every`` element by a hash salted with the component, in the order of the text."""
+
+    def salted(c: Column) -> Column:
+        hashed = F.transform(every, lambda x: F.xxhash64(c, x.bitwiseAND(F.lit(HASH_BITS))).bitwiseAND(F.lit(HASH_BITS)) + x.bitwiseAND(F.lit(PLACE)))
+        value = let(F.sort_array(hashed), lambda o: _value(F.get(o, F.lit(0)), F.get(o, F.lit(1))))
+        return F.coalesce(F.shiftleft(c, 32) + value, F.lit(0).cast("long"))
 
-    each = let(chosen, lambda o: F.transform(o, lambda x, i: hashed(o, x, i)))
-    return F.filter(each, lambda x: x.isNotNull())
+    components = F.transform(done, lambda x: F.shiftright(x, 32))
+    lacking = F.array_except(F.sequence(F.lit(0).cast("long"), F.lit(COMPONENTS - 1).cast("long")), components)
+    return F.sort_array(F.concat(done, F.transform(lacking, salted)))
 
 
 def shown(parts: Column) -> Column:
-    """Text of a fingerprint: number and hash of each component that has k-mers."""
-    return F.array_join(F.transform(parts, lambda x: F.concat_ws(":", F.hex(x["component"]), F.lower(F.hex(x["value"])))), " ")
+    """Text of a fingerprint: number and hash of each component, in order."""
+    half = F.lit(2**32 - 1)
+    return F.array_join(F.transform(parts, lambda x: F.concat_ws(":", F.hex(F.shiftright(x, 32)), F.lower(F.hex(x.bitwiseAND(half))))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of components that agree, of those that either text has; 1 for two texts without k-mers."""
-    either = F.size(F.array_union(F.transform(a, lambda x: x["component"]), F.transform(b, lambda x: x["component"])))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Share of components that agree; 1 for two texts without characters, 0 if one has some."""
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
 def add_fingerprint(rows: DataFrame, found: str, name: str) -> DataFrame:
     """Column ``name``: the components of a text, of which column ``found`` holds all ``kmers``.
 
-    Of a long text only elements with low hashes are taken, as the smallest of each component have; wherever a component
-    lacks ``PICKED`` of them, all are. Components that still lack some, as in short texts, pick from all elements by a hash of their own,
-    so every text with ``PICKED`` k-mers fills all components.
+    A k-mer's first occurrence has its hash, a further one the hash of the k-mer's hash and the occurrence number, so any of them is as likely to be
+    low. Entries sort by component, hash and position as plain longs. One pass over the sorted entries keeps the low and the repeated ones;
+    only repeats are numbered. Of a long text only elements with low hashes are taken, as the smallest of each component have;
+    wherever a component lacks ``PICKED`` of them, all are. Components that still lack some, as in short texts, pick from all
+    elements by a hash of their own, so every text with characters fills all components.
     """
-    ordered, again, n = F.col("__ordered"), F.col("__again"), F.size(found)
-    rows = rows.withColumn("__ordered", F.sort_array(F.col(found)))
-    rows = rows.withColumn("__again", repeats(ordered))
-    rows = rows.withColumn("__some", elements(ordered, again, limit_for(n)))
-    rows = rows.withColumn("__picked", picked(F.array_sort("__some")))
-    lacks = F.size("__picked") < COMPONENTS * PICKED
-    rows = rows.withColumn("__every", F.when(lacks & (n > EXPECTED), elements(ordered, again, F.lit(MOST))).when(lacks & (n > 0), F.col("__some")))
-    rows = rows.withColumn("__picked", F.when(lacks & (n > EXPECTED), picked(F.array_sort("__every"))).otherwise(F.col("__picked")))
-    rows = rows.withColumn("__picked", F.when(lacks & (n > 0), filled(F.col("__picked"), F.col("__every"))).otherwise(F.col("__picked")))
-    return rows.withColumn(name, components(F.col("__picked"))).drop("__ordered", "__again", "__some", "__every", "__picked")
+    n, no_limit = F.size(found), F.lit(WITHIN)
+    rows = rows.withColumn("__ordered", F.sort_array(F.col(found))).withColumn("__limit", limit_for(n))
+
+    def with_elements(rows: DataFrame, limit: Column, needed: Column | None, to: str) -> DataFrame:
+        """Sorted elements up to a limit, for the rows that need them."""
+        only = (lambda c: c) if needed is None else (lambda c: F.when(needed, c).otherwise(no_entries()))
+        rows = rows.withColumn("__low", only(low(F.col("__ordered"), limit)))
+        rows = rows.withColumn("__again", only(repeats(F.col("__low"), limit)))
+        rows = rows.withColumn("__more", only(F.filter(F.col("__again"), lambda x, i: _again(x, F.col("__again"), i))))
+        first = F.filter(F.col("__low"), lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) <= limit) & ~F.coalesce(_again(x, F.col("__low"), i), F.lit(False)))
+        return rows.withColumn(to, only(F.sort_array(F.concat(first, seconds(F.col("__again"), limit), numbered(F.col("__more"), limit)))))
+
+    rows = with_elements(rows, F.col("__limit"), None, "__some")
+    rows = rows.withColumn("__picked", picked(F.col("__some")))
+    rows = rows.withColumn("__lacks", F.size("__picked") < COMPONENTS * PICKED)
+    rows = with_elements(rows, no_limit, F.col("__lacks") & (n > EXPECTED), "__every")
+    whole = F.when(n > EXPECTED, F.col("__every")).otherwise(F.col("__some"))
+    rows = rows.withColumn("__every", F.when(F.col("__lacks"), whole).otherwise(no_entries()))
+    rows = rows.withColumn("__picked", F.when(F.col("__lacks") & (n > EXPECTED), picked(F.col("__every"))).otherwise(F.col("__picked")))
+    rows = rows.withColumn("__done", complete(F.col("__picked")))
+    lacking = (n > 0) & (F.size("__done") < COMPONENTS)
+    rows = rows.withColumn(name, F.when(lacking, filled(F.col("__done"), F.col("__every"))).otherwise(F.col("__done")))
+    return rows.drop("__ordered", "__limit", "__low", "__again", "__more", "__some", "__every", "__picked", "__lacks", "__done")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``components`` (array of component and value) of every whole text; no shuffle.
+    """Columns ``keep`` and ``components`` (component in the upper half of a long, hash in the lower) of every whole text; no shuffle.
 
     Null and empty texts have no components. Equal texts have equal ones.
     """
@@ -168,23 +195,26 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return add_fingerprint(rows, "__kmers", "components").drop("__t", "__kmers")
 
 
-def _bounds(ids: DataFrame) -> list:
-    """Ids that end the neighbour windows, in order; the largest id is the last. At most ``MOST_BOUNDS``."""
+def _bounds(ids: DataFrame) -> tuple[list, int]:
+    """Ids that end the neighbour windows, in order; the largest id is the last. At most ``MOST_BOUNDS``. And the number of rows."""
     n = ids.count()
     count = max(1, min(MOST_BOUNDS, math.ceil(n / WINDOW_DOCUMENTS)))
     shares = [(i + 1) / count for i in range(count)]
     row = ids.agg(F.percentile_approx("id", shares, 100 * count if count < 1000 else 4 * count).alias("b"), F.max("id").alias("m")).first()
-    return sorted({*(row["b"] or []), *([row["m"]] if row["m"] is not None else [])})
+    return sorted({*(row["b"] or []), *([row["m"]] if row["m"] is not None else [])}), n
 
 
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, Window]:
     """Rows of ``docs`` (key, text) in windows by descending key, each ending with the next window's first document.
 
     Columns ``id``, ``t``, ``window`` and ``guest`` (a document lent by the next window; it is in its own as well). The
-    last document is followed by the first. One shuffle of the texts; a window holds about ``WINDOW_DOCUMENTS`` rows.
+    last document is followed by the first. Keys are whole numbers. One shuffle of the texts, into a task per ``TASK_DOCUMENTS``; a window holds about
+    ``WINDOW_DOCUMENTS`` rows, or a ``MOST_BOUNDS``-th of the table if that is more (760 MB of 100 TB), and one task needs to hold no more than that.
     """
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise ValueError(f"{key} must be a whole number")
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
-    bounds = _bounds(rows.select("id"))
+    bounds, n = _bounds(rows.select("id"))
     kind = rows.schema["id"].dataType.simpleString()
     step = max(1, math.isqrt(len(bounds)))
     listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
@@ -198,6 +228,8 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple
     places = F.when(lends, F.array(F.struct(F.col("window").alias("w"), F.lit(False).alias("g")), F.struct(to.alias("w"), F.lit(True).alias("g"))))
     alone = F.array(F.struct(F.col("window").alias("w"), F.lit(False).alias("g")))
     rows = rows.select("id", "t", F.explode(F.coalesce(places, alone)).alias("p")).select("id", "t", F.col("p.w").alias("window"), F.col("p.g").alias("guest"))
+    # small as the shuffle is, the work is not: tasks by documents, not by bytes
+    rows = rows.repartition(max(1, min(len(bounds), math.ceil(n / TASK_DOCUMENTS))), "window")
     return rows, Window.partitionBy("window").orderBy("guest", F.desc_nulls_last("id"), F.xxhash64("t"))
 
 

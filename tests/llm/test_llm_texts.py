@@ -264,6 +264,63 @@ def test_fingerprints_of_short_texts_and_doubled_blocks(spark):
     assert alike(0, 1) < 0.8 < alike(0, 0) and alike(2, 3) > 0.4
 
 
+def plain_fingerprint(text, seen):
+    """Components by plain Order MinHash: ``seen`` maps what Spark hashed (k-mers, pairs of numbers) to the hashes."""
+    k, count, elements = order_minhash.K, {}, []
+    grams = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text] * bool(text)
+    upper = lambda h: h & order_minhash.HASH_BITS
+    for position, gram in enumerate(grams, 1):
+        own = upper(seen[gram])  # equal upper bits are one k-mer
+        count[own] = count.get(own, 0) + 1
+        elements.append((own if count[own] == 1 else upper(seen[own, count[own]]), position))
+    found = []
+    for c in range(64):
+        own = sorted(e for e in elements if (e[0] >> 58) + 32 == c)[:2]
+        if len(own) < 2:
+            own = sorted((upper(seen["salt", c, h]), p) for h, p in elements)[:2]
+        own = tuple(h for h, _ in sorted(own, key=lambda e: e[1]))
+        if own:
+            found.append((c, seen["tuple", *own] % (2**32 - 1)))
+    return found
+
+
+class Hashes(dict):
+    """xxhash64 of Spark, by the xxhash library."""
+
+    def __missing__(self, key):
+        import struct
+
+        import xxhash
+
+        signed = lambda h: h - 2**64 if h >= 2**63 else h
+        if isinstance(key, str):
+            data = [key.encode()]
+        elif key[0] == "salt":  # the component is a long
+            data = [struct.pack("<q", key[1]), struct.pack("<q", key[2])]
+        elif key[0] == "tuple":
+            data = [struct.pack("<q", h) for h in key[1:]]
+        else:  # a long and an int, which is hashed as four bytes
+            data = [struct.pack("<q", key[0]), struct.pack("<i", key[1])]
+        seed = 42
+        for part in data:
+            seed = xxhash.xxh64_intdigest(part, seed)
+        self[key] = signed(seed)
+        return self[key]
+
+
+def test_fingerprints_against_plain_order_minhash(spark):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefgé日", k=rng.randint(1, 9)))
+    line = " ".join(word() for _ in range(9)) + "\n"
+    texts = ["", "a", "sevench", "eight ch", "nine char", "x" * 40, "ab" * 700, line * 3, (line * 400)[:9000], "word " * 500]
+    texts += [" ".join(word() for _ in range(n)) for n in (3, 20, 60, 150, 200, 400, 2500)]
+    texts += [" ".join(x + x for x in (word() for _ in range(300))), (" ".join(word() for _ in range(100)) + "\n") * 12]
+    rows = {r.doc_id: [(x >> 32, x & 0xFFFFFFFF) for x in r.components] for r in order_minhash.fingerprints(table(spark, texts)).collect()}
+    seen = Hashes()
+    for i, text in enumerate(texts):
+        assert rows[i] == plain_fingerprint(text, seen), (i, text[:40])
+
+
 def test_spelled_phone_far_from_a_card():
     phone, card = "five five five one two three four five six seven", "4111 1111 1111 1111"
     for text in (f"{phone} ok. {'words ' * 2000}card {card}.", f"card {card}. {'words ' * 2000}call {phone} ok"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from cohortloom.llm.columns import let
 
 #: Characters of a k-mer, components of a fingerprint, k-mers of a component, and elements taken from a long text on average.
 K, COMPONENTS, PICKED, EXPECTED = 8, 64, 2, 800
-#: k-mers that start in one chunk of a text, documents of one neighbour window and of one task, and the most windows.
-CHUNK, WINDOW_DOCUMENTS, TASK_DOCUMENTS, MOST_BOUNDS = 32, 500, 2_500, 131_072
+#: Documents of one neighbour window and of one task, and the most windows.
+WINDOW_DOCUMENTS, TASK_DOCUMENTS, MOST_BOUNDS = 500, 2_500, 131_072
 #: An entry is one long: component in the highest bits, the rest of a hash, and a position in the text in the lowest.
 POSITION_BITS, COMPONENT_BITS = 31, 6
 HASH_BITS = -(1 << POSITION_BITS)
@@ -32,76 +33,94 @@ def limit_for(n: Column) -> Column:
     return F.when(n <= EXPECTED, F.lit(WITHIN)).otherwise(F.shiftleft(share, POSITION_BITS) + F.lit(PLACE))
 
 
-def kmers(text: Column, before: Column | int = 0) -> Column:
-    """Entries of all k-mers of a text in its order: the upper bits of a k-mer's hash, then its position (``before`` added).
+def kmers(text: Column, skip: Column | int = 0) -> Column:
+    """Entries of the k-mers of a text in its order, but for the first ``skip``: the upper bits of a k-mer's hash, then its position.
 
-    The text is cut into chunks that overlap by k - 1, so that reading a k-mer does not walk through the text.
+    The text is read as four bytes per character, in which a k-mer is found without walking there; positions count these bytes.
     A text shorter than k is one k-mer.
     """
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{CHUNK + K - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    skip = skip if isinstance(skip, Column) else F.lit(skip)
 
     def entry(part: Column, position: Column) -> Column:
-        return F.xxhash64(part).bitwiseAND(F.lit(HASH_BITS)) + position
+        return F.xxhash64(part).bitwiseAND(F.lit(HASH_BITS)).bitwiseOR(position.cast("long"))
 
-    def chunk(c: Column, start: Column) -> Column:
-        # a chunk is too short for a k-mer only where the one before it holds the text's last
-        starts = F.sequence(F.lit(1), F.greatest(F.char_length(c) - (K - 1), F.lit(1)))
-        found = F.transform(starts, lambda i: entry(F.substr(c, i, F.lit(K)), start + i))
-        return F.when(F.char_length(c) >= K, found).otherwise(no_entries())
+    def several(wide: Column) -> Column:
+        starts = F.sequence(skip.cast("int") * 4 + 1, F.octet_length(wide) - (4 * K - 1), F.lit(4))
+        return F.transform(starts, lambda i: entry(F.substr(wide, i, F.lit(4 * K)), i))
 
-    before = (before if isinstance(before, Column) else F.lit(before)).cast("long")
-    several = let(before, lambda added: F.flatten(F.transform(chunks, lambda c, j: let(added + j * CHUNK, lambda start: chunk(c, start)))))
-    whole = F.array(entry(text, before + 1))
-    return F.when(F.char_length(text) >= K, several).when(F.char_length(text) > 0, whole).otherwise(no_entries())
+    wide = F.encode(text, "UTF-32")
+    left = F.char_length(text) - skip
+    return F.when(left >= K, let(wide, several)).when((F.char_length(text) > 0) & (skip == 0), F.array(entry(wide, F.lit(1)))).otherwise(no_entries())
 
 
-def _same(x: Column, y: Column, bits: int) -> Column:
-    """Whether two entries agree above their lowest ``bits``."""
-    return F.shiftright(x.bitwiseXOR(y), bits) == 0
+def _again(x: Column, before: Column) -> Column:
+    """Whether an entry's k-mer is that of the entry before it, of sorted entries; null for the first one, which has none."""
+    return x <= before.bitwiseOR(F.lit(PLACE))
 
 
-def _again(x: Column, o: Column, i: Column) -> Column:
-    """Whether an entry's k-mer is that of the entry before it, of sorted entries; null for the first one."""
-    return _same(x, F.get(o, i - 1), POSITION_BITS)
+def _beside(entries: Column, body: Callable[[Column, Callable], Column], by: int = 1) -> Column:
+    """``body`` of entries and of a function that gives the entry ``by`` places before a place."""
+    shifted = F.concat(F.array_repeat(F.lit(None).cast("long"), by), entries)
+    return let(shifted, lambda s: body(entries, lambda i: F.get(s, i)))
 
 
 def low(ordered: Column, limit: Column) -> Column:
-    """Of sorted ``kmers``, those of a place up to the limit, and all repeats. Both are read per entry, so they should be columns."""
-    return F.filter(ordered, lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) <= limit) | _again(x, ordered, i))
+    """Of sorted ``kmers``, those of a place up to the limit, and all repeats."""
+    kept = lambda most: _beside(ordered, lambda o, at: F.filter(o, lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) <= most) | _again(x, at(i))))
+    return let(limit, kept)
 
 
 def repeats(found: Column, limit: Column) -> Column:
     """The entries of ``low`` that are not the first of their k-mer: one of a larger place is there for no other reason."""
-    return F.filter(found, lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) > limit) | _again(x, found, i))
+    kept = lambda most: _beside(found, lambda o, at: F.filter(o, lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) > most) | _again(x, at(i))))
+    return let(limit, kept)
+
+
+def _first(x: Column, before: Column) -> Column:
+    return F.coalesce(x > before.bitwiseOR(F.lit(PLACE)), F.lit(True))
+
+
+def firsts(found: Column, limit: Column) -> Column:
+    """The other entries of ``low``, which are elements as they are."""
+    kept = lambda most: _beside(found, lambda o, at: F.filter(o, lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) <= most) & _first(x, at(i))))
+    return let(limit, kept)
 
 
 def _element(x: Column, number: Column) -> Column:
     """Element of a repeat: hash of the k-mer's hash and the occurrence number, and the position."""
-    return F.xxhash64(x.bitwiseAND(F.lit(HASH_BITS)), number).bitwiseAND(F.lit(HASH_BITS)) + x.bitwiseAND(F.lit(PLACE))
+    return F.xxhash64(x.bitwiseAND(F.lit(HASH_BITS)), number).bitwiseAND(F.lit(HASH_BITS)).bitwiseOR(x.bitwiseAND(F.lit(PLACE)))
 
 
 def _up_to(found: Column, limit: Column) -> Column:
-    return F.filter(found, lambda x: x.bitwiseAND(F.lit(WITHIN)) <= limit)
+    return let(limit, lambda most: F.filter(found, lambda x: x.bitwiseAND(F.lit(WITHIN)) <= most))
 
 
 def seconds(again: Column, limit: Column) -> Column:
     """Elements of second occurrences, the first ones of each k-mer in ``repeats``, up to the limit."""
-    own = F.filter(again, lambda x, i: ~F.coalesce(_again(x, again, i), F.lit(False)))
+    own = _beside(again, lambda o, at: F.filter(o, lambda x, i: _first(x, at(i))))
     return _up_to(F.transform(own, lambda x: _element(x, F.lit(2))), limit)
 
 
+def beyond(again: Column) -> Column:
+    """The other entries of ``repeats``: third and further occurrences."""
+    return _beside(again, lambda o, at: F.filter(o, lambda x, i: _again(x, at(i))))
+
+
 def numbered(more: Column, limit: Column) -> Column:
     """Elements of third and further occurrences, which are ``more`` in the order of their k-mers, up to the limit."""
-    places = F.when(F.size(more) > 0, F.sequence(F.lit(0), F.size(more) - 1)).otherwise(F.slice(F.array(F.lit(0)), 1, 0))
-    starts = F.filter(places, lambda i: ~F.coalesce(_again(F.get(more, i), more, i), F.lit(False)))
-    run = lambda s, e: _up_to(F.transform(F.slice(more, s + 1, e - s), lambda x, i: _element(x, i + 3)), limit)
-    runs = let(starts, lambda b: F.flatten(F.transform(b, lambda s, j: run(s, F.coalesce(F.get(b, j + 1), F.size(more))))))
-    return F.when(F.size(more) > 0, runs).otherwise(no_entries())
+    run = lambda o, s, e: F.transform(F.slice(o, s + 1, e - s), lambda x, i: _element(x, i + 3))
+
+    def runs(o: Column) -> Column:
+        # places of the first entries of each k-mer
+        starts = F.filter(F.transform(o, lambda x, i: F.when(_first(x, F.get(o, i - 1)), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+        return let(starts, lambda b: F.flatten(F.transform(b, lambda s, j: run(o, s, F.coalesce(F.get(b, j + 1), F.size(o))))))
+
+    return F.when(F.size(more) > 0, _up_to(let(more, runs), limit)).otherwise(no_entries())
 
 
 def picked(elements: Column) -> Column:
     """The ``PICKED`` first elements of each component, of sorted elements."""
-    return F.filter(elements, lambda x, i: ~F.coalesce(_same(x, F.get(elements, i - PICKED), 64 - COMPONENT_BITS), F.lit(False)))
+    return _beside(elements, lambda o, at: F.filter(o, lambda x, i: F.coalesce(x > at(i).bitwiseOR(F.lit(WITHIN)), F.lit(True))), PICKED)
 
 
 def _component(x: Column) -> Column:
@@ -117,20 +136,21 @@ def _value(x: Column, y: Column) -> Column:
 
 def complete(picks: Column) -> Column:
     """Components that have all their picks: component in the upper half of a long, hash of its elements in the lower."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(picks) - 1), lambda i: F.coalesce(_same(F.get(picks, i), F.get(picks, i + PICKED - 1), 64 - COMPONENT_BITS), F.lit(False)))
 
     def entry(x: Column, y: Column) -> Column:
-        return F.shiftleft(_component(x), 32) + _value(x, y)
+        # picks of a component stand together, and there are at most ``PICKED``
+        found = F.when(y <= x.bitwiseOR(F.lit(WITHIN)), F.shiftleft(_component(x), 32) + _value(x, y))
+        return F.coalesce(found, F.lit(-1).cast("long"))
 
-    found = F.transform(starts, lambda i: F.coalesce(entry(F.get(picks, i), F.get(picks, i + 1)), F.lit(0).cast("long")))
-    return F.when(F.size(picks) > 0, found).otherwise(no_entries())
+    each = let(picks, lambda o: F.transform(o, lambda x, i: let(F.get(o, i + 1), lambda y: entry(x, y))))
+    return F.filter(F.transform(each, lambda x: F.coalesce(x, F.lit(-1).cast("long"))), lambda x: x >= 0)
 
 
 def filled(done: Column, every: Column) -> Column:
     """``done`` with each lacking component: the ``PICKED`` first of ``every`` element by a hash salted with the component, in the order of the text."""
 
     def salted(c: Column) -> Column:
-        hashed = F.transform(every, lambda x: F.xxhash64(c, x.bitwiseAND(F.lit(HASH_BITS))).bitwiseAND(F.lit(HASH_BITS)) + x.bitwiseAND(F.lit(PLACE)))
+        hashed = F.transform(every, lambda x: F.xxhash64(c, x.bitwiseAND(F.lit(HASH_BITS))).bitwiseAND(F.lit(HASH_BITS)).bitwiseOR(x.bitwiseAND(F.lit(PLACE))))
         value = let(F.sort_array(hashed), lambda o: _value(F.get(o, F.lit(0)), F.get(o, F.lit(1))))
         return F.coalesce(F.shiftleft(c, 32) + value, F.lit(0).cast("long"))
 
@@ -140,9 +160,8 @@ def filled(done: Column, every: Column) -> Column:
 
 
 def shown(parts: Column) -> Column:
-    """Text of a fingerprint: number and hash of each component, in order."""
-    half = F.lit(2**32 - 1)
-    return F.array_join(F.transform(parts, lambda x: F.concat_ws(":", F.hex(F.shiftright(x, 32)), F.lower(F.hex(x.bitwiseAND(half))))), " ")
+    """Text of a fingerprint: number and hash of each component, as one hexadecimal number, in order."""
+    return F.lower(F.array_join(F.transform(parts, lambda x: F.hex(x)), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -168,8 +187,8 @@ def add_fingerprint(rows: DataFrame, found: str, name: str) -> DataFrame:
         only = (lambda c: c) if needed is None else (lambda c: F.when(needed, c).otherwise(no_entries()))
         rows = rows.withColumn("__low", only(low(F.col("__ordered"), limit)))
         rows = rows.withColumn("__again", only(repeats(F.col("__low"), limit)))
-        rows = rows.withColumn("__more", only(F.filter(F.col("__again"), lambda x, i: _again(x, F.col("__again"), i))))
-        first = F.filter(F.col("__low"), lambda x, i: (x.bitwiseAND(F.lit(WITHIN)) <= limit) & ~F.coalesce(_again(x, F.col("__low"), i), F.lit(False)))
+        rows = rows.withColumn("__more", only(beyond(F.col("__again"))))
+        first = firsts(F.col("__low"), limit)
         return rows.withColumn(to, only(F.sort_array(F.concat(first, seconds(F.col("__again"), limit), numbered(F.col("__more"), limit)))))
 
     rows = with_elements(rows, F.col("__limit"), None, "__some")
@@ -249,8 +268,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id"
     rows = rows.withColumn("kmers", kmers(F.col("t")))
     # the edit has the k-mers of what it keeps, and those that touch its new end
     seam = F.greatest(n - part - (K - 1), F.lit(0))
-    fresh = kmers(F.substr("edited", seam + 1, F.char_length("edited")), seam)
-    rows = rows.withColumn("edited_kmers", F.concat(F.slice("kmers", F.lit(1), seam), fresh))
+    rows = rows.withColumn("edited_kmers", F.concat(F.slice("kmers", F.lit(1), seam), kmers(F.col("edited"), seam)))
     rows = add_fingerprint(rows, "kmers", "own")
     rows = add_fingerprint(rows, "edited_kmers", "other")
     rows = rows.select("id", "window", "guest", "t", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "own", "other")

@@ -294,7 +294,7 @@ class Hashes(dict):
 
         signed = lambda h: h - 2**64 if h >= 2**63 else h
         if isinstance(key, str):
-            data = [key.encode()]
+            data = [key.encode("utf-32-be")]
         elif key[0] == "salt":  # the component is a long
             data = [struct.pack("<q", key[1]), struct.pack("<q", key[2])]
         elif key[0] == "tuple":

@@ -29,6 +29,7 @@ def impute_cohort(
     tune_parameters: bool = True,
     id_column: str = ID_COLUMN,
     mode: str = "errorifexists",
+    method: str = "linear",
 ) -> ImputedCohort:
     """Complete the table, write one folder per dataset, and correlate each dataset.
 
@@ -36,7 +37,7 @@ def impute_cohort(
     """
     result = impute(
         cleaned, n_datasets=n_imputations, n_iterations=n_iterations, seed=random_state,
-        n_random_variables=n_random_vars, always=DEMOGRAPHICS, tune=tune_parameters, id_column=id_column)
+        n_random_variables=n_random_vars, always=DEMOGRAPHICS, tune=tune_parameters, id_column=id_column, method=method)
     datasets = result.completed()
     if path is not None:
         write_datasets(datasets, f"{path}/datasets", id_column, mode=mode)

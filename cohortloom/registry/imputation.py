@@ -41,7 +41,24 @@ def _imputed(spark, sf_dir, **options):
 
 def mice_invariants(spark, sf_dir):
     """Per dataset: rows, values still missing, observed cells that changed, values never observed."""
-    panel, result = _imputed(spark, sf_dir)
+    return _invariants(*_imputed(spark, sf_dir))
+
+
+def mice_tree_invariants(spark, sf_dir):
+    """The same of five datasets after five iterations with trees of tuned depth."""
+    return _invariants(*_imputed(spark, sf_dir, n_datasets=5, n_iterations=5, tune=True, method="tree"))
+
+
+def mice_tree_importance(spark, sf_dir):
+    """The predictor whose splits gain most, per dataset, for a variable that steps up on both sides of a range of the outcome."""
+    step = F.when(F.abs(F.col("outcome") - 150_000) > 60_000, 5.0).otherwise(0.0) + F.col("cov_bal") / 1e6
+    panel = survey_panel(spark, sf_dir).select(
+        "sample", "Cycle", "outcome", "cov_bal", "x_prio", F.when(F.col("sample") % 3 != 0, step).alias("x_step"))
+    result = chained.impute(stage(panel, "panel"), n_datasets=5, n_iterations=5, seed=42, method="tree")
+    return result.importance.groupBy("dataset", "variable").agg(F.max_by("predictor", "gain").alias("predictor"))
+
+
+def _invariants(panel, result):
     table = result.completed()
     original = panel.select("sample", *[F.col(t).alias(f"o_{t}") for t in TARGETS])
     joined = table.join(original, "sample")
@@ -119,7 +136,7 @@ def linear_model_intervals(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    initial_fill, pmm_match, mice_invariants, mice_observed, mice_trace, mice_trace_moments, mice_distributions,
+    initial_fill, pmm_match, mice_invariants, mice_tree_invariants, mice_tree_importance, mice_observed, mice_trace, mice_trace_moments, mice_distributions,
     mice_importance, mice_tuning, mice_correlation, masked_error, linear_models, linear_model_intervals,
 )}
 
@@ -152,6 +169,11 @@ ORACLES = {
     "mice_invariants": with_panel(
         """SELECT dataset, COUNT(*) AS n_rows, COUNT(DISTINCT sample) AS n_samples, 0::BIGINT AS n_missing,
            0::BIGINT AS n_changed, 0::BIGINT AS n_foreign FROM panel, """ + _DATASETS + " GROUP BY dataset"),
+    "mice_tree_invariants": with_panel(
+        """SELECT dataset, COUNT(*) AS n_rows, COUNT(DISTINCT sample) AS n_samples, 0::BIGINT AS n_missing,
+           0::BIGINT AS n_changed, 0::BIGINT AS n_foreign FROM panel, """
+        "(SELECT unnest(range(1, 6))::INTEGER AS dataset) GROUP BY dataset"),
+    "mice_tree_importance": "SELECT unnest(range(1, 6))::INTEGER AS dataset, 'x_step' AS variable, 'outcome' AS predictor",
     "mice_observed": with_panel(
         'SELECT dataset, sample, "Cycle", x_qty, x_price, x_gap FROM panel, ' + _DATASETS),
     "mice_trace": with_panel(

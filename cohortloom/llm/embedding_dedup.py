@@ -1,4 +1,4 @@
-"""Near duplicates of embeddings by full comparison within labels, in blocks."""
+"""Near duplicates of embeddings by sorted projection passes within labels."""
 
 from __future__ import annotations
 
@@ -7,29 +7,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.components import components
 from cohortloom.llm.near_dedup import whole_groups
-from cohortloom.staging import stage
+from cohortloom.staging import broadcast_if_bytes, scratch, stage
 
-COSINE, WINDOW, BITS = 0.93, 64, 62
+#: Vectors that a window is meant to hold, and bits of an order's hash at most.
+COSINE, WINDOW, BITS = 0.93, 128, 24
 #: Chance wanted that some pass brings a pair at the threshold into one window.
-RECALL = 0.999
-CHUNK = 100
-#: Vectors of a chunk of a label, and of one product with another chunk.
+RECALL = 0.9999
+#: Vectors of a chunk of a crowded window, and of one product with another chunk.
 FULL_CHUNK, FULL_ROWS = 2000, 250
 
 
-def passes_for(largest: int, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes needed for a group of ``largest`` vectors.
+def plan_passes(n: int, spread: float, cosine: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> tuple[int, int]:
+    """Leading bits that make a window, and passes, for ``n`` unit vectors whose mean square distance from their mean is ``spread``.
 
-    A pair stands within a window if it shares the leading bits that divide the group into windows; each random
-    plane separates it with probability angle / pi.
+    Seen from the mean, vectors at the threshold stand at an angle that grows as the spread shrinks; a random plane separates them with
+    probability angle / pi. Of all numbers of bits that leave about ``window`` vectors or more, the one with the fewest compared pairs
+    is taken. That is no bit and one pass, a full comparison, where passes would compare as many.
     """
-    shared = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(largest, 1) / window))
-    return max(4, math.ceil(math.log(1 - recall) / math.log1p(-min(shared, 0.9))))
+    apart = 2 * (1 - cosine)
+    together = 1 - math.acos(max(-1.0, min(1.0, 1 - apart / (2 * max(spread, 1e-9))))) / math.pi
+    best = (1.0, 0, 1)
+    for bits in range(1, min(BITS, int(math.log2(max(1, n / window)))) + 1):
+        shared = min(together**bits, 1 - 1e-12)
+        passes = max(1, math.ceil(math.log(1 - recall) / math.log1p(-shared))) if shared > 1e-6 else 10**6
+        best = min(best, (passes / 2**bits, bits, passes))
+    return best[1:]
 
 
 def planes(turn: int, size: int) -> np.ndarray:
@@ -76,106 +85,154 @@ def _stars(ids: np.ndarray, root: np.ndarray) -> np.ndarray:
     return np.column_stack([ids[order], hub])[ids[order] != hub]
 
 
-def link_counts(members: DataFrame, cosine: float) -> DataFrame:
-    """``id`` and ``n``: copies of other classes that are linked with each class of a component.
+def _vectors(column: pa.Array) -> list[bytes]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-    ``members``: component, size, kind, id, vector, copies. All links lie within components, so comparing these in full gives
-    exact counts, however many links the windows saw. Components are cut into chunks of ``CHUNK``; two chunks meet in a group, and
-    counts alone leave it.
+
+def in_orders(classes: DataFrame, cosine: float, window: int, exact: bool) -> DataFrame:
+    """``classes`` with ``places``: the window of each vector in the order of each pass of its kind, the leading bits of its hash there.
+
+    The vectors of a kind are hashed from their mean. One narrow aggregate gives the kinds' sizes and means, one row each.
     """
-    rows = members.withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    rows = rows.select("component", "id", "vector", "copies", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    group = F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    rows = rows.select(group.alias("group"), F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("side"), "id", "vector", "copies")
-    rows = rows.repartition("group").sortWithinPartitions("group", "id")
+    unit = F.transform("vector", lambda x: x / F.col("norm"))
+    largest = F.array_max(F.transform("vector", F.abs))
+    rows = classes.withColumn("norm", largest * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + (x / largest) * (x / largest))))
+    means = rows.groupBy("kind").agg(vector_to_array(Summarizer.mean(array_to_vector(unit))).alias("mean"), F.count("*").alias("size"))
+
+    @F.pandas_udf("bits int, passes int")
+    def planned(size, mean):
+        import pandas as pd
+
+        found = [(0, 1) if exact else plan_passes(int(n), max(0.0, 1 - float(np.dot(m, m))), cosine, window) for n, m in zip(size, mean, strict=True)]
+        return pd.DataFrame(found, columns=["bits", "passes"])
+
+    kinds = broadcast_if_bytes(stage(means.withColumn("plan", planned("size", "mean")).select("kind", "mean", "plan.*"), "kinds"))
+    joined = classes.join(kinds, "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "group"):
-            group, side, ids, copies = (table.column(c).to_numpy() for c in ("group", "side", "id", "copies"))
-            counts = np.zeros(len(ids), np.int64)
-            raw = [np.array(v).tobytes() for v in table.column("vector").to_pylist()]
-            for where, unit in unit_vectors(raw):
-                spot, part, apart, x = group[where], side[where], 1, np.arange(len(where))
-                while True:
-                    x = x[x + apart < len(where)]
-                    x = x[spot[x] == spot[x + apart]]
-                    if not len(x):
-                        break
-                    fit = x[(part[x] < 0) | (part[x] != part[x + apart])]
-                    fit = fit[linked(unit, fit, fit + apart, cosine)]
-                    i, j = where[fit], where[fit + apart]
-                    np.add.at(counts, i, copies[j])
-                    np.add.at(counts, j, copies[i])
-                    apart += 1
-            own = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(counts[own])], ["id", "n"])
-
-    return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def full_links(classes: DataFrame, cosine: float) -> DataFrame:
-    """Links (a, b) of all pairs of a kind that reach the cosine, found by comparing every pair.
-
-    ``classes``: kind, id, vector. A kind is dealt by a hash into chunks of about ``FULL_CHUNK`` vectors; two chunks meet in a group, in
-    which products of ``FULL_ROWS`` vectors with the others are taken at a time. Only links that join local components leave a group.
+        cache: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            bits, passes = (batch.column(c).to_numpy() for c in ("bits", "passes"))
+            places: list = [None] * len(bits)
+            means = _vectors(batch.column("mean"))
+            for where, unit in unit_vectors(_vectors(batch.column("vector"))):
+                size = unit.shape[1]
+                seen = unit - np.frombuffer(b"".join([means[i] for i in where])).reshape(len(where), size)
+                codes = np.zeros((len(where), passes[where].max()), np.int32)
+                for turn in range(codes.shape[1]):
+                    if (turn, size) not in cache:
+                        cache[turn, size] = planes(turn, size)
+                    above = seen @ cache[turn, size] > 0
+                    for bit in range(bits[where].max()):
+                        codes[:, turn] = np.where(bit < bits[where], 2 * codes[:, turn] + above[:, bit], codes[:, turn])
+                for i, code in zip(where, codes, strict=True):
+                    places[i] = code[: passes[i]]
+            kept = [batch.column(c) for c in ("kind", "id", "vector", "copies")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(places, pa.list_(pa.int32()))], ["kind", "id", "vector", "copies", "places"])
+
+    return joined.mapInArrow(run, "kind long, id long, vector array<double>, copies long, places array<int>")
+
+
+def window_links(ordered: DataFrame, cosine: float) -> DataFrame:
+    """What the windows of all passes show: rows (a, b) that link components found in one, and rows (a, n) of links counted.
+
+    ``ordered``: the result of ``in_orders``. A window that holds more than a chunk is dealt by a hash into chunks of about ``FULL_CHUNK``; two
+    chunks meet in a group, so a crowded window is compared in full. Links are verified in double precision. A pair
+    that stands in several windows is counted in the first pass that has it, so counts (of copies of the other class) add up over
+    passes without a table of pairs, and a group returns at most one link and one count per vector.
     """
-    chunks = classes.groupBy("kind").agg(F.ceil(F.count("*") / FULL_CHUNK).cast("int").alias("chunks"))
-    rows = classes.join(chunks, "kind").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    rows = rows.select("kind", "id", "vector", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    group = F.xxhash64("kind", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    rows = rows.select(group.alias("group"), F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk")).alias("side"), "id", "vector")
-    rows = rows.repartition("group").sortWithinPartitions("group", "side", "id")
+    rows = ordered.select("kind", "id", "vector", "copies", "places", F.posexplode("places").alias("turn", "place"))
+    rows = rows.withColumn("window", F.xxhash64("kind", "turn", "place"))
+    crowded = rows.groupBy("window").agg(F.count("*").alias("n")).where(F.col("n") > FULL_CHUNK)
+    chunks = stage(crowded.select("window", F.ceil(F.col("n") / FULL_CHUNK).cast("int").alias("chunks")), "crowded")
+    rows = rows.join(broadcast_if_bytes(chunks), "window", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    group = F.xxhash64("window", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    side = F.when(F.col("chunk") == F.col("other"), -1).otherwise(F.col("chunk"))
+    # rows without neighbours in their window end here
+    rows = rows.select(group.alias("group"), "kind", side.alias("side"), "turn", "id", "vector", "copies", "places")
+    rows = rows.repartition("group").sortWithinPartitions("group", "kind", "side", "id")
+
+    def compared(unit, side, turn, ids, copies, places) -> tuple[np.ndarray, np.ndarray]:
+        """Root of each vector among the links of a group, and copies of others that are linked here for the first time."""
+        n = len(ids)
+        root, counts = np.arange(n), np.zeros(n, np.int64)
+        within = side[0] < 0
+        left = np.arange(n) if within else np.flatnonzero(side == side[0])
+        right = left if within else np.flatnonzero(side != side[0])
+        for k in range(0, len(left) if len(right) else 0, FULL_ROWS):
+            here = left[k : k + FULL_ROWS]
+            near = unit[here] @ unit[right].T
+            # the product decides but for rounding; close ones are summed up again
+            close = np.abs(near - cosine) <= 1e-9
+            fit = near >= cosine
+            x, y = np.nonzero(close)
+            if len(x):
+                fit[x, y] = linked(unit, here[x], right[y], cosine)
+            if within:
+                fit &= here[:, None] < right[None, :]
+            for i in np.flatnonzero(fit.any(axis=1)):
+                met = right[fit[i]]
+                tops = np.unique(np.append(root[met], root[here[i]]))
+                if len(tops) > 1:
+                    root[np.isin(root, tops)] = tops[0]
+            for before in range(turn):
+                fit &= places[here, before][:, None] != places[right, before][None, :]
+            counts[here] += fit @ copies[right]
+            counts[right] += copies[here] @ fit
+        return root, counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "group"):
-            group, side, ids = (table.column(c).to_numpy() for c in ("group", "side", "id"))
-            column = table.column("vector").combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            raw = [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            root = np.arange(len(ids))
-            for where, unit in unit_vectors(raw):
-                for one in np.unique(group[where]):
-                    spot = np.flatnonzero(group[where] == one)
-                    part = side[where[spot]]
-                    within = part[0] < 0
-                    left = spot if within else spot[part == part[0]]
-                    right = spot if within else spot[part != part[0]]
-                    for k in range(0, len(left), FULL_ROWS):
-                        here = left[k : k + FULL_ROWS]
-                        # the product only finds candidates; the sum that decides is the one that counts links
-                        x, y = np.nonzero(unit[here] @ unit[right].T >= cosine - 1e-9)
-                        x, y = here[x], right[y]
-                        new = (x < y) if within else np.ones(len(x), bool)
-                        new &= root[where[x]] != root[where[y]]
-                        x, y = x[new], y[new]
-                        fit = linked(unit, x, y, cosine)
-                        for i, j in zip(where[x[fit]].tolist(), where[y[fit]].tolist(), strict=True):
-                            if root[i] != root[j]:
-                                root[root == root[j]] = root[i]
-            found = _stars(ids, root)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def near_vectors(vectors: DataFrame, vec: str = "embedding", label: str = "label", key: str = "vec_id", cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
+            group, kind, side, turn, ids, copies = (table.column(c).to_numpy() for c in ("group", "kind", "side", "turn", "id", "copies"))
+            starts = np.flatnonzero(np.append(True, (np.diff(group) != 0) | (np.diff(kind) != 0)))
+            raw, at = _vectors(table.column("vector")), _vectors(table.column("places"))
+            a, b, n = [], [], []
+            for first, last in zip(starts, np.append(starts[1:], len(ids)), strict=True):
+                if last - first < 2:
+                    continue
+                spot = slice(first, last)
+                unit = next(unit_vectors(raw[spot]))[1]  # a kind has one length
+                places = np.frombuffer(b"".join(at[spot]), np.int32).reshape(last - first, -1)
+                root, counts = compared(unit, side[spot], int(turn[first]), ids[spot], copies[spot], places)
+                stars, own = _stars(ids[spot], root), np.flatnonzero(counts)
+                a += [stars[:, 0], ids[spot][own]]
+                b += [stars[:, 1], np.full(len(own), -1)]
+                n += [np.zeros(len(stars), np.int64), counts[own]]
+            if a:
+                a, b, n = (np.concatenate(x).astype(np.int64) for x in (a, b, n))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=n > 0), pa.array(n)], ["a", "b", "n"])
+
+    return rows.mapInArrow(run, "a long, b long, n long")
+
+
+def near_vectors(
+    vectors: DataFrame, vec: str = "embedding", label: str = "label", key: str = "vec_id", cosine: float = COSINE, window: int = WINDOW, exact: bool = False
+) -> DataFrame:
     """``key``, n_links (other vectors linked directly), component_id (smallest key reachable) and kept of every row.
 
     Vectors of equal, non-null label and length are linked by a cosine of ``cosine`` or more in double precision. Equal vectors
-    are one class, which counts its copies. Every pair of a label's classes is compared, in blocks, so no link depends on chance, on
-    how the vectors are spread or on ``window``; the work is quadratic in a label. Links give the components, and full comparisons inside these
-    the counts.
+    are one class, which counts its copies. Each pass puts the vectors of a label into the order of random hashes, as seen from their mean; those
+    that share the leading bits stand in one window and are compared, however many they are. The bits and the number of passes follow from the
+    label's size and spread, so that a pair at the threshold meets with probability ``RECALL``; ``window`` is the number of vectors that a
+    window is meant to hold. A label that is small or so dense that passes would compare as much is one window, compared in full. ``exact``
+    makes every label one. Links join across passes.
 
     A null label, a vector that is null, empty, zero or holds null or non-finite entries, links with nothing: no links, its own
     component, kept. A null key has a null component and is not kept. Repeated rows count as other vectors; other columns are
     ignored; an empty table stays empty.
     """
-    classes = stage(classes_of(vectors, vec, label, key), "classes")
-    links = full_links(classes.select("kind", "id", "vector"), cosine)
-    joined = stage(components(stage(links.distinct(), "links")), "components").withColumnRenamed("node", "id")
-    members = classes.join(joined, "id").join(joined.groupBy("component").agg(F.count("*").alias("size")), "component")
-    counts = link_counts(members.select("component", "size", "id", "vector", "copies"), cosine)
+    with scratch() as made:
+        classes = stage(classes_of(vectors, vec, label, key), "classes")
+        found = stage(window_links(in_orders(classes, cosine, window, exact), cosine), "links")
+        counts = stage(found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n")), "counts")
+        joined = stage(components(stage(found.where("n = 0").select("a", "b").distinct(), "pairs")), "components")
+        made += [classes, counts, joined]
+    joined = joined.withColumnRenamed("node", "id")
     result = classes.join(joined, "id", "left").join(counts, "id", "left").select(
         "kind", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")
     )

@@ -147,6 +147,11 @@ class Reader(HTMLParser):
             if self.links > 0:
                 self.linked += len(data.strip())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` with whatever follows is a comment up to the next ``>``, or to the end of the page."""
+        end = self.rawdata.find(">", i)
+        return len(self.rawdata) if end < 0 else end + 1
+
     def read(self, html: str) -> Page:
         self.feed(html)
         self.close()

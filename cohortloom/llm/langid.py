@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -17,7 +17,7 @@ from cohortloom.llm.batches import map_texts, slices
 #: Entries of a profile, and documents per language that a fit reads at most.
 PROFILE_SIZE, FIT_DOCUMENTS = 300, 2000
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 MARK = ord("_")
 
 

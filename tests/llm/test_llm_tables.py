@@ -163,23 +163,49 @@ def test_near_vector_edges(spark):
     assert sorted(found, key=str) == sorted([(None, 0, None, False), (3, 1, 3, True), (5, 1, 3, False)], key=str)
 
 
-def test_recall_of_passes():
-    """Pairs at the threshold inside one large label: the passes asked for find nearly all."""
-    rng = np.random.default_rng(4)
-    n, size = 6000, 32
-    base = rng.standard_normal((n, size))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    side = rng.standard_normal((300, size))
-    side -= (side * base[:300]).sum(1, keepdims=True) * base[:300]
+def spread_rows(n, size, background, seed, pairs=300):
+    """One label of vectors at a common cosine of ``background``, with planted pairs just above the threshold."""
+    rng = np.random.default_rng(seed)
+    centre = np.zeros(size)
+    centre[0] = 1.0
+    side = rng.standard_normal((n, size))
+    side[:, 0] = 0
     side /= np.linalg.norm(side, axis=1, keepdims=True)
-    vectors = np.concatenate([base, 0.93 * base[:300] + np.sqrt(1 - 0.93**2) * side])
-    met = np.zeros(300, bool)
-    weights = 1 << np.arange(embedding_dedup.BITS - 1, -1, -1, dtype=np.int64)
-    for turn in range(embedding_dedup.passes_for(len(vectors))):
-        place = np.empty(len(vectors), int)
-        place[np.argsort(((vectors @ embedding_dedup.planes(turn, size)) >= 0) @ weights)] = np.arange(len(vectors))
-        met |= np.abs(place[:300] - place[n:]) <= embedding_dedup.WINDOW
-    assert met.mean() >= 0.99
+    base = np.sqrt(background) * centre + np.sqrt(1 - background) * side
+    other = rng.standard_normal((pairs, size))
+    other -= (other * base[:pairs]).sum(1, keepdims=True) * base[:pairs]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return np.concatenate([base, 0.931 * base[:pairs] + np.sqrt(1 - 0.931**2) * other])
+
+
+@pytest.mark.parametrize("background", [0.0, 0.6, 0.85])
+def test_recall_of_passes(spark, background):
+    """Links of one large label, of vectors that are spread or that share a direction, against the comparison in full."""
+    vectors = spread_rows(6000, 32, background, 4)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    plain = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    whole = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(table, exact=True).collect()}
+    assert whole == dict(enumerate(plain.tolist()))
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(table).collect()}
+    assert sum(found.values()) >= 0.99 * sum(whole.values()) and all(found[i] <= whole[i] for i in whole)
+
+
+def test_plan_of_passes():
+    bits, passes = embedding_dedup.plan_passes(50_000, 1.0)
+    assert passes / 2**bits < 0.1  # of all pairs
+    assert embedding_dedup.plan_passes(100, 1.0) == (0, 1) and embedding_dedup.plan_passes(10**6, 0.05) == (0, 1)
+    assert embedding_dedup.plan_passes(1, 0.0) == (0, 1) and embedding_dedup.plan_passes(10**9, 1.0)[0] <= embedding_dedup.BITS
+
+
+def test_crowded_windows(spark, monkeypatch):
+    """Windows that hold more than a chunk are compared in full."""
+    monkeypatch.setattr(embedding_dedup, "FULL_CHUNK", 20)
+    monkeypatch.setattr(embedding_dedup, "FULL_ROWS", 7)
+    rows = vector_rows(5)
+    table = spark.createDataFrame([(*r, "k", "c") for r in rows], VECTORS).repartition(5)
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(table, window=16).collect()}
+    assert found == plain_links(rows)
 
 
 def test_pages_held_out():
@@ -288,3 +314,16 @@ def test_all_class_words_are_read():
     reader = html_extract.Reader()
     reader.feed(f'<div class="{" ".join(f"u{i}" for i in range(40))} advert">words</div>')
     assert any("name:advert" in found for found in reader.page.features)
+
+
+def test_odd_markup_does_not_stop_a_page():
+    """Declarations and sections of any kind are comments; random markup never raises."""
+    page = "<body><article><p>one long paragraph of the article stands here and goes on.</p>{}<p>another paragraph of the article follows here.</p></article></body>"
+    for odd in ("<![foo]>", "<![ 1>", "<![CDATA[x]]>", "<![if IE]>", "<!ELEMENT a>", "<!>", "<?php x ?>", "</ >", "<!DOCTYPE [", "&#xD800;", "&#99999999;"):
+        model = html_extract.PageModel({}, {"element": [[1.0, 1.0], [1.0, 1.0]], "leaf": [[1.0, 1.0], [1.0, 1.0]]})
+        assert isinstance(model.text(page.format(odd)), str)
+    assert "another" in "".join(t or "" for t in html_extract.Reader().read(page.format("<![foo]>")).text)
+    rng = random.Random(4)
+    pieces = ["<!", "<![", "<!-", "-->", "]]>", "<", ">", "</", "<p", "div", " class=", '"', "'", "&", "&#", "x", "1", "[", "]", "<script>", "</script>", "<!doctype", "--", "?", "/", "text "]
+    for _ in range(3000):
+        html_extract.Reader().read("".join(rng.choices(pieces, k=rng.randint(1, 25))))

@@ -339,3 +339,8 @@ def test_mixed_disguises_of_addresses(part):
 def test_plain_domains_after_at_are_no_addresses():
     for text in ("meet us at example.com and come (at) noon", "write to a.b@example.org dot the i"):
         assert not any(pii.disguised_spans(text, pii.plain_spans(text)).values())
+
+
+@pytest.mark.parametrize("text", ["½ ²", "①②", "Ⅷ 42", "__ !!", "", "٣٤"])
+def test_no_letter_has_no_ngrams(text):
+    assert len(langid.ngram_counts(text)[0]) == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import log2_offset, nan_to_null, parse_measure
 from cohortloom.operators import merge, select, transform
 from cohortloom.operators.histogram import histogram
-from cohortloom.operators.moments import correlation
+from cohortloom.operators.moments import correlation, whole_correlation
 from cohortloom.plans.clean import clean_cohort as run_clean
 from cohortloom.plans.panel import measure_panel, read, survey_panel, with_panel
 from cohortloom.sources import cohort
@@ -186,6 +186,13 @@ def correlation_matrix(spark, sf_dir):
     return correlation(panel, columns).withColumn("r", F.round("r", 6))
 
 
+def correlation_full(spark, sf_dir):
+    """Both triangles and the diagonal."""
+    panel = survey_panel(spark, sf_dir).withColumn("constant", F.lit(2.5))
+    columns = ["outcome", "cov_bal", "x_qty", "x_price", "x_gap", "x_sparse", "x_zero", "constant"]
+    return whole_correlation(panel, columns).withColumn("r", F.round("r", 6))
+
+
 def correlation_by_dataset(spark, sf_dir):
     panel = survey_panel(spark, sf_dir).withColumnRenamed("x_prio", "dataset")
     return correlation(panel, ["outcome", "x_qty", "x_price", "x_gap"], ["dataset"]).withColumn("r", F.round("r", 6))
@@ -217,7 +224,7 @@ def clean_correlation(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     parse_na, nan_as_missing, cohort_scan, dataset_sink, keep_first, dictionary_select, dictionary_columns,
     pattern_blocks, role_difference, seeded_variables, outer_merge_coalesce, harmonise_rename, inner_merge,
-    reattach_ids, repeated_ids, log2_values, standardize, exposure_index, histogram_counts, correlation_matrix,
+    reattach_ids, repeated_ids, log2_values, standardize, exposure_index, histogram_counts, correlation_matrix, correlation_full,
     correlation_by_dataset, clean_cohort, clean_correlation,
 )}
 
@@ -320,6 +327,13 @@ ORACLES = {
     "correlation_matrix": with_panel(
         _correlation(["outcome", "cov_bal", "x_qty", "x_price", "x_gap", "x_sparse", "x_zero", "constant"], "wide"),
         "wide AS (SELECT *, 2.5::DOUBLE AS constant FROM panel)"),
+    "correlation_full": with_panel(
+        "SELECT var_i, var_j, n, r FROM pairs UNION ALL SELECT var_j, var_i, n, r FROM pairs UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT '{c}', '{c}', COUNT({c}), CASE WHEN COUNT({c}) >= 2 AND VAR_POP({c}) > 0 THEN 1.0::DOUBLE END FROM wide"
+            for c in ["outcome", "cov_bal", "x_qty", "x_price", "x_gap", "x_sparse", "x_zero", "constant"]),
+        "wide AS (SELECT *, 2.5::DOUBLE AS constant FROM panel)",
+        "pairs AS (" + _correlation(["outcome", "cov_bal", "x_qty", "x_price", "x_gap", "x_sparse", "x_zero", "constant"], "wide") + ")"),
     "correlation_by_dataset": with_panel(
         _correlation(["outcome", "x_qty", "x_price", "x_gap"], "wide", "dataset"),
         "wide AS (SELECT *, x_prio AS dataset FROM panel)"),

@@ -14,20 +14,33 @@ from cohortloom.staging import broadcast_if_small, stage
 
 #: The stages depend on fitted models, random planes and a library's ids, which SQL cannot express.
 ORACLE_SQL = None
+#: Score that a document's language must exceed to stay.
+SCORE_FLOOR = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: null texts and texts without a letter."""
+    """Drops documents without a recognisable language: null texts, texts without a letter, and texts whose score is not above ``SCORE_FLOOR``.
+
+    A score of 0 means that no n-gram of the text is in any learned language's profile, as in a script that none of them uses.
+    """
     profiles = fit_profiles(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("t"))
-    return predict_languages(rows, profiles, "t", ("doc",)).where(F.col("lang_pred") != UNKNOWN).select("doc.*")
+    return predict_languages(rows, profiles, "t", ("doc",)).where(
+        (F.col("lang_pred") != UNKNOWN) & (F.col("score") > SCORE_FLOOR)
+    ).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps the document with the smallest id of each group of near duplicates, and one row of rows that repeat an id and a text."""
     found = near_duplicates(docs).where("not kept and doc_id is not null")
     surplus = stage(found.select("doc_id").distinct(), "surplus")
-    return docs.join(broadcast_if_small(surplus), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.join(broadcast_if_small(surplus), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    some = broadcast_if_small(repeated)
+    once = kept.join(some, "doc_id", "left_semi").select(kept.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(some, "doc_id", "left_anti").select(kept.columns).unionByName(once)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,20 +14,16 @@ from cohortloom.staging import broadcast_if_small, stage
 
 #: The stages depend on fitted models, random planes and a library's ids, which SQL cannot express.
 ORACLE_SQL = None
-#: Score that a document's language must exceed to stay.
-SCORE_FLOOR = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: null texts, texts without a letter, and texts whose score is not above ``SCORE_FLOOR``.
+    """Drops documents without a recognisable language: null texts and texts without a letter.
 
-    A score of 0 means that no n-gram of the text is in any learned language's profile, as in a script that none of them uses.
+    There is no floor for the score: in a small corpus clean documents share no n-gram with its few profiles.
     """
     profiles = fit_profiles(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("text").alias("t"))
-    return predict_languages(rows, profiles, "t", ("doc",)).where(
-        (F.col("lang_pred") != UNKNOWN) & (F.col("score") > SCORE_FLOOR)
-    ).select("doc.*")
+    return predict_languages(rows, profiles, "t", ("doc",)).where(F.col("lang_pred") != UNKNOWN).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

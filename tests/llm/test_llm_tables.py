@@ -327,3 +327,13 @@ def test_odd_markup_does_not_stop_a_page():
     pieces = ["<!", "<![", "<!-", "-->", "]]>", "<", ">", "</", "<p", "div", " class=", '"', "'", "&", "&#", "x", "1", "[", "]", "<script>", "</script>", "<!doctype", "--", "?", "/", "text "]
     for _ in range(3000):
         html_extract.Reader().read("".join(rng.choices(pieces, k=rng.randint(1, 25))))
+
+
+def test_pipeline_reduces_repeated_rows(spark, tmp_path):
+    rows = [(i, f"some english words of the text number {i} that go on and on", "en") for i in range(20)]
+    rows += [(3, rows[3][1], "en"), (3, rows[3][1], "en"), (4, "quite another text under an id that is there already", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert once.columns == docs.columns
+    found = sorted((r.doc_id, r.text) for r in once.collect())
+    assert len(found) == len(set(found)) and {(3, rows[3][1]), (4, rows[22][1]), (4, rows[4][1])} <= set(found)

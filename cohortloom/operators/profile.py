@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil, log, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,18 +23,36 @@ def wave_column(df: DataFrame) -> str | None:
     return next((c for c in WAVE_COLUMNS if c in df.columns), None)
 
 
+def level_registers(max_levels: int) -> int:
+    """Registers of the estimate: a power of two, 512 or more, at least four times ``max_levels``.
+
+    So many keep the estimate of ``max_levels`` values in the range that is counted by empty registers.
+    """
+    return max(512, 1 << ceil(log2(4 * max(max_levels, 1))))
+
+
+def most_estimated(max_levels: int) -> int:
+    """Largest estimate that a column with fewer than ``max_levels`` values can have.
+
+    So many values fill as many registers at most, and the estimate m * ln(m / empty) grows with the filled ones.
+    """
+    registers, values = level_registers(max_levels), max(max_levels - 1, 0)
+    return ceil(registers * log(registers / (registers - values)))
+
+
 def column_profile(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     group: str | None = None,
     levels: bool = False,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """Long profile ``(group, column_name, n_rows, n_valid, n_zero, about_levels)``.
 
     ``n_zero`` and ``about_levels`` are counted with ``levels=True`` only. The latter is a HyperLogLog estimate. It serves as a filter
-    without false negatives: with 512 registers, a column of at most nine values fills at most
-    nine registers, for which the estimate is nine at most.
+    without false negatives, see ``most_estimated``; its registers follow ``max_levels``.
     """
+    spread = f"{1.106 / 2 ** ((log2(level_registers(max_levels)) - 0.5) / 2):.12f}D"
     columns = list(df.columns if columns is None else columns)
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     keys = [group] if group else []
@@ -43,7 +62,7 @@ def column_profile(
         rows = ", ".join(
             f"struct({literal(c)} AS column_name, count(1) AS n_rows, count({name(c)}) AS n_valid, "
             + (f"count_if({name(c)} = 0)" if levels and c in numeric else "0L") + " AS n_zero, "
-            + (f"approx_count_distinct({name(c)})" if levels else "CAST(NULL AS BIGINT)") + " AS about_levels)"
+            + (f"approx_count_distinct({name(c)}, {spread})" if levels else "CAST(NULL AS BIGINT)") + " AS about_levels)"
             for c in batch
         )
         source = df.select(*[name(c) for c in dict.fromkeys([*keys, *batch])])
@@ -133,12 +152,10 @@ def variable_types(df: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
 
     Exact: the estimate only picks the columns whose values are then counted.
     """
-    if max_levels > MAX_LEVELS:
-        raise ValueError(f"max_levels above {MAX_LEVELS} is not covered by the filter")
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
-    found = column_profile(df, levels=True).where(F.col("n_valid") > 0).collect()
+    found = column_profile(df, levels=True, max_levels=max_levels).where(F.col("n_valid") > 0).collect()
     candidates = [r["column_name"] for r in found
-                  if r["column_name"] in numeric and r["about_levels"] < MAX_LEVELS]
+                  if r["column_name"] in numeric and r["about_levels"] <= most_estimated(max_levels)]
     few = set()
     if candidates:
         counted = level_counts(df, candidates).groupBy("column_name").agg(F.count(F.lit(1)).alias("levels"))

@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.constants import ID_COLUMN, MAX_LEVELS, MAX_ZERO_SHARE, MIN_LEVEL_ROWS, MIN_VALID
-from cohortloom.operators.profile import column_profile, level_counts, wave_column
+from cohortloom.operators.profile import column_profile, level_counts, most_estimated, wave_column
 from cohortloom.operators.select import exposures, keep_first
 from cohortloom.operators.transform import log2_columns, standardize
 from cohortloom.staging import stage
 
 
-def qc_profile(df: DataFrame, columns: Sequence[str], group: str | None) -> DataFrame:
+def qc_profile(
+    df: DataFrame, columns: Sequence[str], group: str | None, max_levels: int = MAX_LEVELS
+) -> DataFrame:
     """Everything the rules need, a row per column.
 
     ``(column_name, n_valid, n_zero, worst_wave, levels, smallest_level)``. One pass counts
     values, zeros and waves. A second one counts the values of those columns only that can
-    have fewer than ten; for the others ``levels`` is missing.
+    have fewer than ``max_levels``; for the others ``levels`` is missing.
     """
     types = {f.name: f.dataType for f in df.schema}
-    by_wave = stage(column_profile(df, columns, group, levels=True), "profile")
+    by_wave = stage(column_profile(df, columns, group, levels=True, max_levels=max_levels), "profile")
     named = F.col("wave").isNotNull() if group else F.lit(True)
     # Without a wave the worst wave is the whole table.
     overall = by_wave.groupBy("column_name").agg(
@@ -32,7 +34,8 @@ def qc_profile(df: DataFrame, columns: Sequence[str], group: str | None) -> Data
         F.min(F.when(named, F.col("n_valid"))).alias("worst_wave"),
         F.max("about_levels").alias("about_levels"),
     )
-    candidates = [r["column_name"] for r in overall.where(F.col("about_levels") < MAX_LEVELS).collect()]
+    few = overall.where(F.col("about_levels") <= most_estimated(max_levels))
+    candidates = [r["column_name"] for r in few.collect()]
     if candidates:
         counted = stage(
             level_counts(df, candidates).groupBy("column_name").agg(
@@ -58,8 +61,6 @@ def failed_rule(
 
     1: too few values. 2: few levels and one of them rare. 3: mostly zeros. 4: a wave without values.
     """
-    if max_levels > MAX_LEVELS:
-        raise ValueError(f"max_levels above {MAX_LEVELS} is not covered by the profile")
     return (
         F.when(F.col("n_valid") < min_valid, 1)
         .when((F.col("levels") < max_levels) & (F.col("smallest_level") < min_level_rows), 2)
@@ -85,7 +86,7 @@ def qc_verdicts(
     """``(column_name, failed_rule)`` of the columns that the rules look at."""
     group = group or wave_column(df)
     columns = checked_columns(df, outcomes, covariates, id_column)
-    profile = qc_profile(df, columns, group)
+    profile = qc_profile(df, columns, group, thresholds.get("max_levels", MAX_LEVELS))
     return profile.select("column_name", failed_rule(**thresholds).alias("failed_rule"))
 
 

@@ -104,6 +104,12 @@ def test_more_neighbours_than_participants(spark, cohort):
     assert network.edges.groupBy("b", "i").count().where("count <> 3").count() == 0
 
 
+def test_empty_tiles(spark, cohort):
+    df = spark.createDataFrame(cohort.head(5))
+    network = fusion.run_snf(df, {"b": ["b1", "b2"]}, ["score"], [], k=2, tile_rows=1)
+    assert network.edges.groupBy("b", "i").count().where("count <> 2").count() == 0
+
+
 def test_guards(spark, cohort):
     df = spark.createDataFrame(cohort)
     with pytest.raises(ValueError, match="not in the table"):

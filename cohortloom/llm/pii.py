@@ -85,20 +85,20 @@ DIGIT_WORDS = {
 AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase", "ät"), ("dot", "punkt", "point", "punto")
 
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+# Single digits among the words, or digit groups too.
 SPELLED = re.compile(rf"(?<!\w)(?:plus\W{{1,3}})?(?:(?:{_DIGIT}|[0-9])(?:[ ,-]{{1,2}}(?=\w)|(?!\w))){{4,}}", re.IGNORECASE)
-SPELLED_PART = re.compile(rf"plus|{_DIGIT}|[0-9]|[ ,-]+|\W", re.IGNORECASE)
+GROUPED = re.compile(rf"(?<!\w)(?:plus\W{{1,3}})?(?:(?:{_DIGIT}|[0-9]++)(?:[\s,-]{{1,2}}(?=\w)|(?!\w))){{3,}}", re.IGNORECASE)
+SPELLED_PART = re.compile(rf"plus|{_DIGIT}|[0-9]+|[\s,-]+|\W", re.IGNORECASE)
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
-BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s{{0,3}}[\])}}>]\s{{0,3}}", re.IGNORECASE)
-_PART = r"[A-Za-z0-9_%+-]+"
-SPOKEN = re.compile(
-    rf"(?<![\w.%+-]){_PART}(?:(?:\.| (?:{_DOT}) ){_PART}){{0,4}}(?P<at> (?:{_AT}) |@)[A-Za-z0-9-]+(?P<dot>\.| (?:{_DOT}) )[A-Za-z0-9-]+"
-    rf"(?:(?:\.| (?:{_DOT}) )[A-Za-z0-9-]+){{0,3}}(?![\w@])",
-    re.IGNORECASE,
-)
-SPOKEN_SIGN = re.compile(rf" (?:(?P<at>{_AT})|(?P<dot>{_DOT})) ", re.IGNORECASE)
-SPOKEN_NUMBERS = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?: (?:{_DOT}) [0-9]{{1,3}}){{3}}(?!\w)", re.IGNORECASE)
-SPOKEN_DOT = re.compile(rf" (?:{_DOT}) ", re.IGNORECASE)
-BRACKET = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]", re.IGNORECASE)
+BRACKETED = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))\s*+[\])}}>]\s*+", re.IGNORECASE)
+PART = re.compile(r"[A-Za-z0-9_%+-]+")
+PART_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"
+SIGN = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:\s++(?:(?P<at>{_AT})|(?:{_DOT}))\s++|(?P<sign>@)|\.)(?=[A-Za-z0-9_%+-])", re.IGNORECASE)
+_OCTET = rf"(?:[0-9]{{1,3}}|(?:{_DIGIT}|[0-9])(?:[ -](?:{_DIGIT}|[0-9])){{0,2}})"
+SPOKEN_NUMBERS = re.compile(rf"(?<![\w.]){_OCTET}(?:\s++(?:{_DOT})\s++{_OCTET}){{3}}(?!\w)", re.IGNORECASE)
+SPOKEN_PART = re.compile(rf"(?P<dot>\s+(?:{_DOT})\s+)|{_DIGIT}|[0-9]+|[ -]", re.IGNORECASE)
+SPOKEN_DOT = re.compile(rf"\s(?:{_DOT})\s", re.IGNORECASE)
+BRACKET = re.compile(rf"[\[({{<]\s*+(?:{_AT}|{_DOT}|@|\.)\s*+[\])}}>]", re.IGNORECASE)
 SUSPECT = re.compile(f"[{''.join(LOOKALIKES)}{HIDDEN}⁰-₟①-⓿！-～\U0001d400-\U0001d7ff]")
 
 
@@ -126,7 +126,7 @@ class Tape:
         return self.first[start], self.last[end - 1]
 
 
-def _characters(text: str) -> Iterable[tuple[int, int, str]]:
+def _characters(text: str, edited: bytearray) -> Iterable[tuple[int, int, str]]:
     """Look-alikes, full-width and styled characters become ASCII; hidden characters go."""
     for m in SUSPECT.finditer(text):
         c = m[0]
@@ -135,61 +135,86 @@ def _characters(text: str) -> Iterable[tuple[int, int, str]]:
             yield m.start(), m.end(), new
 
 
-def _spelled(text: str) -> Iterable[tuple[int, int, str]]:
-    """Four or more spelled digits in a row become digits; a leading "plus" becomes a sign."""
-    for m in SPELLED.finditer(text):
-        parts = [p.lower() for p in SPELLED_PART.findall(m[0])]
-        words = [p for p in parts if p in DIGIT_WORDS]
-        if len(words) >= 4:
-            digits = "".join("+" if p == "plus" else DIGIT_WORDS.get(p, p if p.isdecimal() else "") for p in parts)
-            yield m.start(), m.start() + len(m[0].rstrip(" ,-")), digits
+def _spelled_by(pattern: re.Pattern, least: int):
+    """Step that writes ``least`` or more spelled digits in a row, as the pattern reads them, in digits; a leading "plus" becomes a sign."""
 
+    def step(text: str, edited: bytearray) -> Iterable[tuple[int, int, str]]:
+        for m in pattern.finditer(text):
+            parts = [p.lower() for p in SPELLED_PART.findall(m[0])]
+            if sum(p in DIGIT_WORDS for p in parts) >= least:
+                digits = "".join("+" if p == "plus" else DIGIT_WORDS.get(p, p if p.isdecimal() else "") for p in parts)
+                yield m.start(), m.start() + len(m[0].rstrip(" ,-\t\r\n")), digits
 
-def _bracketed(text: str) -> Iterable[tuple[int, int, str]]:
+    return step
+
+
+def _bracketed(text: str, edited: bytearray) -> Iterable[tuple[int, int, str]]:
     for m in BRACKETED.finditer(text):
         yield m.start(), m.end(), "@" if m["at"] else "."
 
 
+def _chains(text: str) -> Iterable[list[re.Match]]:
+    """Signs, spoken or written, with nothing but one part of an address between a sign and the next."""
+    chain: list[re.Match] = []
+    for sign in SIGN.finditer(text):
+        if chain and PART.match(text, chain[-1].end()).end() != sign.start():
+            yield chain
+            chain = []
+        chain.append(sign)
+    if chain:
+        yield chain
+
+
 def _spoken(text: str, edited: bytearray) -> Iterable[tuple[int, int, str]]:
-    """Addresses with signs in words. Other signs may stand as such, but a domain after a spoken "at" needs a sign that was disguised.
+    """Addresses with signs in words, of any number of parts. Other signs may stand as such, but a domain after a spoken "at" needs a
+    sign that was disguised.
 
     An address that stands whole in the source does not go on in words.
     """
-    for m in SPOKEN.finditer(text):
-        signs = list(SPOKEN_SIGN.finditer(m[0]))
-        whole = m["at"] == "@" and m["dot"] == "." and not edited[m.start("at")] and not edited[m.start("dot")]
-        after = m.end("at") - m.start()
-        disguised = m["at"] == "@" or any(s.start() >= after for s in signs) or any(edited[k] for k in range(m.end("at"), m.end()) if text[k] == ".")
-        if disguised and not whole:
-            yield from ((m.start() + s.start(), m.start() + s.end(), "@" if s["at"] else ".") for s in signs)
-    for m in SPOKEN_NUMBERS.finditer(text):
-        yield from ((m.start() + s.start(), m.start() + s.end(), ".") for s in SPOKEN_DOT.finditer(m[0]))
+    done = 0
+    for chain in _chains(text):
+        before = text[done:chain[0].start()]
+        start = chain[0].start() - (len(before) - len(before.rstrip(PART_CHARACTERS)))
+        done = chain[-1].end()
+        # Parts that go on to the left or right in other letters are no address.
+        floor = 1 if start and (text[start - 1].isalnum() or text[start - 1] in "_.") else 0
+        last = PART.match(text, chain[-1].end()).end()
+        top = len(chain) - (last < len(text) and (text[last].isalnum() or text[last] == "@"))
+        ats = [k for k, s in enumerate(chain) if s["at"] or s["sign"]]
+        for at, following in zip(ats, [*ats[1:], len(chain)], strict=False):
+            signs = chain[floor:min(following, top)]
+            domain = chain[at + 1:min(following, top)]
+            if at < floor or not domain:
+                floor = max(floor, at + 1)
+                continue
+            floor = following
+            written = chain[at]["sign"] is not None
+            whole = written and domain[0][0] == "." and not edited[chain[at].start()] and not edited[domain[0].start()]
+            disguised = written or any(s[0] != "." or edited[s.start()] for s in domain)
+            if disguised and not whole:
+                yield from ((s.start(), s.end(), "@" if s["at"] else ".") for s in signs if s[0] not in "@.")
 
 
-def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Source spans of identifiers that only normalising shows, without those inside a plain span of their kind.
+def _spoken_numbers(text: str, edited: bytearray) -> Iterable[tuple[int, int, str]]:
+    """Four numbers with spoken points between them, in digits or in words for digits."""
+    for m in SPOKEN_NUMBERS.finditer(text):
+        for p in SPOKEN_PART.finditer(m[0]):
+            new = "." if p["dot"] else DIGIT_WORDS.get(p[0].lower(), p[0].strip(" -"))
+            if new != p[0]:
+                yield m.start() + p.start(), m.start() + p.end(), new
 
-    A span counts if the source reads differently there; an email's top domain must be letters. Ten to fifteen digits
-    of which at least seven are spelled also count as a phone number without a plus sign.
-    """
-    steps = [_characters] if not text.isascii() and SUSPECT.search(text) else []
-    low = text.lower()
-    if sum(map(DIGIT_WORDS.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 4:
-        steps.append(_spelled)
-    if steps or any(x in low for x in DOT_WORDS) and SPOKEN_DOT.search(text) or BRACKET.search(text):
-        steps += [_bracketed, _spoken]
-    found: dict[str, list[Span]] = {kind: [] for kind in KINDS}
-    if not steps:
-        return found
+
+def _shown(text: str, steps: list, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
+    """Source spans of identifiers on the tape that the steps leave, without those inside a plain span of their kind."""
     tape = Tape(text)
     for step in steps:
-        edits = sorted(step(tape.text, tape.edited) if step is _spoken else step(tape.text))
+        edits = sorted(step(tape.text, tape.edited))
         tape.rewrite(e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1])
     shown = plain_spans(tape.text)
     spelled = [m.span() for m in re.finditer(r"(?<![0-9+])[0-9]{10,15}(?![0-9])", tape.text) if sum(tape.edited[m.start() : m.end()]) >= 7]
     # digits of a card are no phone number
     spelled = [(a, b) for a, b in spelled if not any(start < b and a < end for start, end in shown["card"])]
-    taken = {k: sorted(v) for k, v in plain.items()}
+    found: dict[str, list[Span]] = {kind: [] for kind in KINDS}
     for kind in KINDS:
         for start, end in sorted({*shown[kind], *(spelled if kind == "phone" else [])}):
             first, last = tape.source(start, end)
@@ -197,11 +222,36 @@ def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[S
                 continue
             if kind == "email" and not tape.text[start:end].rpartition(".")[2].isalpha():
                 continue
-            if not any(a <= first and last <= b for a, b in taken[kind]):
+            if not any(a <= first and last <= b for a, b in plain[kind]):
                 found[kind].append((first, last))
     return found
 
 
+def disguised_spans(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
+    """Source spans of identifiers that only normalising shows, without those inside a plain span of their kind.
+
+    A span counts if the source reads differently there; an email's top domain must be letters. Ten to fifteen digits
+    of which at least seven are spelled also count as a phone number without a plus sign. Spelled digits are read twice, first with
+    single digits among them and then with digit groups; the second reading adds what overlaps nothing of its kind.
+    """
+    characters = [_characters] if not text.isascii() and SUSPECT.search(text) else []
+    low = text.lower()
+    words = sum(map(DIGIT_WORDS.__contains__, low.replace("-", " ").replace(",", " ").split()))
+    dots = any(x in low for x in DOT_WORDS) and SPOKEN_DOT.search(text) is not None
+    signs = [_bracketed, _spoken]
+    steps = characters + ([_spoken_numbers] if dots else []) + ([_spelled_by(SPELLED, 4)] if words >= 4 else [])
+    if steps or BRACKET.search(text):
+        found = _shown(text, steps + signs, plain)
+    else:
+        found = {kind: [] for kind in KINDS}
+    if words >= 3 and DIGIT.search(text):
+        more = _shown(text, [*characters, _spelled_by(GROUPED, 3), *signs], plain)
+        for kind in KINDS:
+            taken = sorted(plain[kind] + found[kind])
+            found[kind] += [(a, b) for a, b in more[kind] if not any(x < b and a < y for x, y in taken)]
+    return found
+
+
 def listed(spans: dict[str, list[Span]]) -> str:
     """``kind:start:end`` of all spans by start, then kind as listed, joined by commas."""
     rows = sorted({(start, k, end) for k, kind in enumerate(KINDS) for start, end in spans[kind]})

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -344,3 +345,30 @@ def test_plain_domains_after_at_are_no_addresses():
 @pytest.mark.parametrize("text", ["½ ²", "①②", "Ⅷ 42", "__ !!", "", "٣٤"])
 def test_no_letter_has_no_ngrams(text):
     assert len(langid.ngram_counts(text)[0]) == 0
+
+
+@pytest.mark.parametrize("kind, text", [
+    ("email", "a dot b dot c dot d dot e dot f dot g at x dot com"), ("email", "x at a dot b dot c dot d dot e dot f"),
+    ("email", "john  at  example  dot  com"), ("email", "john at\nexample dot com"), ("email", "jo     (   at   )   example  ( dot )  org"),
+    ("card", "four one one one 1111 1111 1111"), ("phone", "+1 five five five 123 4567 8 9"),
+    ("ip", "one nine two dot one six eight dot one dot one"), ("ip", "192  dot 168 dot 0 dot 1"),
+])
+def test_disguises_of_any_spacing_and_length(kind, text):
+    for whole in (text, f"so, {text} (then) more", f"10 {text}, 20" if kind in ("email", "ip") else text):
+        found = pii.disguised_spans(whole, pii.plain_spans(whole))
+        at = whole.index(text)
+        assert found[kind] == [(at, at + len(text))]
+
+
+def test_prose_without_addresses():
+    for text in ("meet at noon dot", "look at example.com", "see 10 dot 20 dot 30", "one two three 4 apples", "john.doe@example.com dot org",
+                 "the at a at b at c", "mail john@example.com and dot your point at home"):
+        assert not any(pii.disguised_spans(text, pii.plain_spans(text)).values())
+
+
+def test_long_disguises_take_time_in_proportion():
+    for part in ("a dot ", "a at ", "one ", "1 one ", "one dot ", "12 ", "a at b dot c ", "a."):
+        text = part * 50_000
+        started = time.perf_counter()
+        pii.disguised_spans(text, pii.plain_spans(text))
+        assert time.perf_counter() - started < 10

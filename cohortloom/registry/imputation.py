@@ -124,6 +124,15 @@ def masked_error(spark, sf_dir):
         "variable", "n", "mae", "rmse")
 
 
+def imputation_cv(spark, sf_dir):
+    """Every observed cell of two variables is imputed from the other four folds, as trees and iterations are by default; counts and bounds of errors."""
+    panel = stage(measure_panel(spark, sf_dir).select("sample", "y_price", "x_qty", "x_order"), "panel")
+    errors = chained.cross_validated_error(panel, ["x_qty", "x_order"], method="tree")
+    limits = panel.agg(*[(F.max(v) - F.min(v)).alias(v) for v in ("x_qty", "x_order")]).first()
+    width = F.when(F.col("variable") == "x_qty", F.lit(float(limits["x_qty"]))).otherwise(F.lit(float(limits["x_order"])))
+    return errors.select("variable", "fold", "n", ((F.col("mae") <= F.col("rmse") + 1e-9) & (F.col("rmse") <= width)).alias("bounded"))
+
+
 def linear_models(spark, sf_dir):
     models = run_linear_models(survey_panel(spark, sf_dir), ["outcome", "x_price"], ["x_qty", "x_gap"], ["cov_bal"])
     return models.select("outcome", "exposure", "n", F.round("coef", 4).alias("coef"),
@@ -137,7 +146,7 @@ def linear_model_intervals(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     initial_fill, pmm_match, mice_invariants, mice_tree_invariants, mice_tree_importance, mice_observed, mice_trace, mice_trace_moments, mice_distributions,
-    mice_importance, mice_tuning, mice_correlation, masked_error, linear_models, linear_model_intervals,
+    mice_importance, mice_tuning, mice_correlation, masked_error, imputation_cv, linear_models, linear_model_intervals,
 )}
 
 _CELLS = " UNION ALL ".join(
@@ -174,6 +183,10 @@ ORACLES = {
            0::BIGINT AS n_changed, 0::BIGINT AS n_foreign FROM panel, """
         "(SELECT unnest(range(1, 6))::INTEGER AS dataset) GROUP BY dataset"),
     "mice_tree_importance": "SELECT unnest(range(1, 6))::INTEGER AS dataset, 'x_step' AS variable, 'outcome' AS predictor",
+    "imputation_cv": with_panel(
+        """SELECT variable, (('0x' || substr(md5('42:' || variable || ':' || sample), 1, 6))::BIGINT % 5 + 1)::INTEGER AS fold,
+           COUNT(*) AS n, TRUE AS bounded FROM (SELECT sample, 'x_qty' AS variable, x_qty::DOUBLE AS value FROM mpanel
+             UNION ALL SELECT sample, 'x_order', x_order::DOUBLE FROM mpanel) WHERE value IS NOT NULL GROUP BY ALL"""),
     "mice_observed": with_panel(
         'SELECT dataset, sample, "Cycle", x_qty, x_price, x_gap FROM panel, ' + _DATASETS),
     "mice_trace": with_panel(

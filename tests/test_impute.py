@@ -90,6 +90,44 @@ def test_masked_cells_are_predicted(spark, frame):
     assert errors["y"]["mae"] <= errors["y"]["rmse"]
 
 
+def test_every_cell_is_scored_once_by_folds(spark, frame):
+    data = nulls(spark, frame[["sample", "x", "y", "z"]])
+    errors = chained.cross_validated_error(data, ["y", "z"], 3, seed=5, n_iterations=2, tune=False).toPandas()
+    fold = lambda v, i: int(hashlib.md5(f"5:{v}:{i}".encode()).hexdigest()[:6], 16) % 3 + 1
+    for v in "yz":
+        expected = pd.Series([fold(v, i) for i in frame.loc[frame[v].notna(), "sample"]]).value_counts().to_dict()
+        assert errors[errors.variable == v].set_index("fold").n.to_dict() == expected
+    assert (errors.dataset == 1).all()
+    assert (errors[errors.variable == "y"].rmse < 0.4 * frame.y.std()).all()
+    assert (errors[errors.variable == "z"].rmse > 0.7 * frame.z.std()).all()
+
+
+def test_hidden_cells_reach_neither_start_values_nor_donors(spark):
+    """Values of a fold are marked by their size: what stands in for them must come from the other folds."""
+    fold = [int(hashlib.md5(f"1:v:{i}".encode()).hexdigest()[:6], 16) % 2 for i in range(60)]
+    data = pd.DataFrame({"sample": range(60), "v": [i + 1000.0 * f for i, f in enumerate(fold)], "w": np.arange(60.0) % 7})
+    result = chained.impute(spark.createDataFrame(data), n_datasets=1, n_iterations=1, seed=1, tune=False, held=["v"], folds=2)
+    done = result.table.where("__m_v").toPandas()
+    assert len(done) == 60 and set(done["sample"]) == set(range(60))
+    for r in done.itertuples():
+        assert fold[r.sample] == r.dataset - 1 and (r.v >= 1000) == (fold[r.sample] == 0)
+    base = spark.createDataFrame(data)
+    state = spark.createDataFrame([(d, i, None if fold[i] == d - 1 else v) for d in (1, 2) for i, v in enumerate(data.v)],
+                                  "dataset int, sample long, v double")
+    start = chained.held_start_values(state, base, ["v"], 2, 1, "sample").collect()
+    assert len(start) == 60 and all((r["value"] >= 1000) == (r["dataset"] == 1) for r in start)
+
+
+def test_held_variables_need_folds(spark, frame):
+    data = nulls(spark, frame[["sample", "x", "y"]])
+    for wrong in ({"held": ["y"]}, {"folds": 3}, {"held": ["y"], "folds": 1}, {"held": ["q"], "folds": 2}):
+        with pytest.raises(ValueError, match="held"):
+            chained.impute(data, **wrong)
+    lone = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 3.0), (3, None, 5.0)], "sample long, v double, w double")
+    with pytest.raises(ValueError, match="outside of fold"):
+        chained.impute(lone, held=["v"], folds=2, tune=False)
+
+
 def test_tuning_prefers_little_shrinkage_of_a_strong_predictor(spark, frame):
     result = chained.impute(nulls(spark, frame), n_datasets=1, n_iterations=1)
     assert result.penalties["y"] <= 1e-3

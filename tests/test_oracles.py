@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = all_queries(), all_oracles()
 
 
-LONG = ("snf_", "mice_", "pls_cv", "pls_final", "masked_")
+LONG = ("snf_", "mice_", "imputation_cv", "pls_cv", "pls_final", "masked_")
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +17,8 @@ from cohortloom.constants import (
     WAVE_COLUMNS,
 )
 from cohortloom.functions import number_of, parse_measure
+from cohortloom.operators.moments import sum_vectors
+from cohortloom.staging import stage
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -28,6 +30,18 @@ def join_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
+def _unparsed(raw: DataFrame, columns: Sequence[str], tokens: Sequence[str]) -> list[float]:
+    """Number of present values per column that are no number."""
+    if not columns or raw.isEmpty():
+        return [0.0] * len(columns)
+
+    def odd(text: Column) -> Column:
+        return F.when(~F.trim(text).isin(*tokens) & number_of(text).isNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+
+    found = raw.select(F.transform(F.array(*[F.col(f"`{c}`") for c in columns]), odd).alias("vec"))
+    return sum_vectors(found, []).first()["vec"]
+
+
 def parse_text_table(
     raw: DataFrame,
     id_column: str = ID_COLUMN,
@@ -38,25 +52,22 @@ def parse_text_table(
     """Turn an all-text table into measures, missing tokens becoming NULL.
 
     ``text_columns`` names the columns that stay text. When it is not given, one pass over
-    the table finds them: a column stays text if any of its present values is no number.
+    the table finds them: a column stays text if any of its present values is no number. Its plan is the same for any number
+    of columns, and a task holds one number per column.
     """
     tokens = tuple(tokens)
     measures = [c for c in raw.columns if c != id_column]
     if text_columns is None:
-        unparsed = raw.agg(*[
-            F.count_if(~F.trim(F.col(c)).isin(*tokens) & number_of(F.col(c)).isNull()).alias(c)
-            for c in measures
-        ]).first() if measures else {}
-        text_columns = [c for c in measures if unparsed[c] > 0]
+        text_columns = [c for c, n in zip(measures, _unparsed(raw, measures, tokens), strict=True) if n > 0]
     text_columns = set(text_columns)
     parsed = []
     for c in raw.columns:
         if c == id_column:
-            parsed.append(F.col(c).cast(id_type).alias(c))
+            parsed.append(F.col(f"`{c}`").cast(id_type).alias(c))
         elif c in text_columns:
-            parsed.append(F.when(~F.trim(F.col(c)).isin(*tokens), F.col(c)).alias(c))
+            parsed.append(F.when(~F.trim(F.col(f"`{c}`")).isin(*tokens), F.col(f"`{c}`")).alias(c))
         else:
-            parsed.append(parse_measure(F.col(c), tokens).alias(c))
+            parsed.append(parse_measure(F.col(f"`{c}`"), tokens).alias(c))
     return raw.select(*parsed)
 
 
@@ -71,12 +82,14 @@ def read_cohort(
 ) -> DataFrame:
     """One CSV file or folder of CSV files. With a schema nothing is inferred.
 
+    Without one, the text is parsed once into a staged table, from which types are found and columns are read; it lives
+    as long as the shared folder.
     The schema's columns are found by their names in the header, in any order; missing tokens become NULL
     in text and numbers alike.
     """
     raw = spark.read.option("header", True).csv(path)
     if schema is None:
-        return parse_text_table(raw.drop(*drop), id_column, tokens=tokens, **parse_options)
+        return parse_text_table(stage(raw.drop(*drop), "text"), id_column, tokens=tokens, **parse_options)
     fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
     absent = [f.name for f in fields if f.name not in raw.columns]
     if absent:

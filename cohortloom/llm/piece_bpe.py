@@ -37,9 +37,7 @@ class PieceCodec:
             raise ValueError("the vocabulary needs a piece for each byte and no unused pieces")
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
             raise ValueError("pieces must not join words")
-        whole = special | set(bytes_)
-        self.ids = {p: i for i, p in enumerate(pieces) if i not in whole}
-        self.costs = {p: -self.library.get_score(i) for p, i in self.ids.items()}
+        self.scores = {p: (self.library.get_score(i), i) for i, p in enumerate(pieces) if i not in special and i not in set(bytes_)}
         self.byte_ids = [0] * 256
         for i in bytes_:
             self.byte_ids[int(pieces[i][1:-1], 16)] = i
@@ -51,42 +49,44 @@ class PieceCodec:
         self.cache = BoundedCache(self._unit, CACHED_SEGMENTS)
         self.segments = BoundedCache(self._segment, CACHED_SEGMENTS)
         self.runs = BoundedCache(lambda run: tuple(self.agenda(run)), CACHED_SEGMENTS)
-        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.joined = {p[i : i + 2] for p in self.scores for i in range(len(p) - 1)}
         self.fresh: list[tuple[str, list[int]]] = []
         if self.encode("a b\n") != self.library.encode("a b\n"):
             raise ValueError("the file's normaliser is not the plain one")
 
     def agenda(self, segment: str) -> list[int]:
         """Ids of one segment."""
-        n, cost = len(segment), self.costs.get
         symbols: list[str | None] = list(segment)
-        heap = [(c, i, segment[i : i + 2]) for i in range(n - 1) if (c := cost(segment[i : i + 2])) is not None]
+        scores, n = self.scores, len(segment)
+        heap = []
+        for i in range(n - 1):
+            pair = symbols[i] + symbols[i + 1]
+            if pair in scores:
+                heap.append((-scores[pair][0], i, pair))
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             _, i, pair = heappop(heap)
-            left, j = symbols[i], after[i]
-            if left is None or j >= n or len(left) + len(symbols[j]) != len(pair):
+            j = after[i]
+            if symbols[i] is None or j >= n or len(symbols[i]) + len(symbols[j]) != len(pair):
                 continue
             symbols[i], symbols[j] = pair, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 new = pair + symbols[k]
-                if (c := cost(new)) is not None:
-                    heappush(heap, (c, i, new))
+                if new in scores:
+                    heappush(heap, (-scores[new][0], i, new))
             h = before[i]
             if h >= 0:
                 new = symbols[h] + pair
-                if (c := cost(new)) is not None:
-                    heappush(heap, (c, h, new))
-        ids, known = [], self.ids.get
+                if new in scores:
+                    heappush(heap, (-scores[new][0], h, new))
+        ids = []
         for symbol in symbols:
             if symbol is not None:
-                if (found := known(symbol)) is not None:
-                    ids.append(found)
-                else:
-                    ids += [self.byte_ids[b] for b in symbol.encode()]
+                known = scores.get(symbol)
+                ids.extend([known[1]] if known else [self.byte_ids[b] for b in symbol.encode()])
         return ids
 
     def _segment(self, segment: str) -> tuple[str, bytes]:
@@ -108,7 +108,7 @@ class PieceCodec:
         if not fresh:
             return
         given = [s[1:].replace(SPACE, " ") if s[0] == SPACE else s for s, _ in fresh]
-        lone = self.ids[SPACE]
+        lone = self.scores[SPACE][1]
         for (segment, ids), text, expected in zip(fresh, given, self.library.encode(given, num_threads=1), strict=True):
             if segment == SPACE:
                 expected = [lone]

@@ -3,7 +3,8 @@
 Every participant belongs to the cell of its nearest pivot. By the triangle inequality, cell sizes and the
 distances between pivots bound from above how far the last wanted neighbour of a cell's members can be, and from below how
 far another cell's members are. Pairs of cells whose lower bound exceeds the upper one are skipped, and of the other cells
-only the members beyond the bound are sent. The kernel scale of a graph still needs all distances (see ``graph``); this operator
+only the members beyond the bound are compared. Cells are packed into a few tiles, and a task takes two tiles: a participant is sent
+once per tile that its cell must meet, so the rows that move do not grow with the number of cells. The kernel scale of a graph still needs all distances (see ``graph``); this operator
 is for neighbours alone.
 """
 
@@ -18,15 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators.graph import (
-    DIGITS,
-    OTHER_STRIP,
-    STRIP,
-    Blocks,
-    _keep_nearest,
-    _strip_distances,
-)
-from cohortloom.staging import broadcast_if_small, stage
+from cohortloom.operators.graph import DIGITS, STRIP, TILE_BYTES, Blocks, _strip_distances, compare_tiles
+from cohortloom.staging import stage
 
 # Pivots per block. They only place the cells; the routes between cells that the driver sees are at most their square.
 PIVOTS = 128
@@ -79,28 +73,68 @@ def _routes(pivots: np.ndarray, cells: list, count: int) -> list[tuple[int, int,
             for c, o in np.argwhere(least <= radius[None, :] * (1 + 1e-9) + SLACK)]
 
 
-def _tile_neighbours(count: int):
-    """Nearest members of one tile for each participant of another."""
+def _packed(pivots: np.ndarray, cells: list, tile_rows: int) -> dict[int, tuple[int, int]]:
+    """``{cell: (first tile, tiles)}`` of ``(cell, rows)``: large cells are cut, small ones share a tile with near ones."""
+    rows, found, tile, filled = dict(cells), {}, 0, 0
+    at = cells[0][0]
+    while True:
+        n = rows.pop(at)
+        if n > tile_rows:
+            tile += 1 if filled else 0
+            found[at] = (tile, ceil(n / tile_rows))
+            tile, filled = tile + found[at][1], 0
+        else:
+            if filled + n > tile_rows:
+                tile, filled = tile + 1, 0
+            found[at], filled = (tile, 1), filled + n
+        if not rows:
+            return found
+        left = list(rows)
+        at = left[int(_strip_distances(pivots[[at]], pivots[left])[0].argmin())]
+
+
+def _visits(tiles: dict[int, tuple[int, int]], least: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """``(cell, first tile, tiles, bound)``: members at the bound or beyond it go to these tiles, those of cells that must meet."""
+    members: dict[tuple[int, int], list[int]] = {}
+    for cell, place in tiles.items():
+        members.setdefault(place, []).append(cell)
+    found = []
+    for cell in tiles:
+        for (first, count), others in members.items():
+            # Searching members visit the tile all; those that are looked for only beyond the least radius.
+            bound = -1.0 if np.isfinite(least[cell, others]).any() else float(least[others, cell].min())
+            if bound < np.inf:
+                found.append((cell, first, count, bound))
+    return found
+
+
+def _same_ids(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of equal ids in two ascending lists."""
+    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    row = np.repeat(np.arange(len(left)), high - low)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(high - low) - high, high - low)
+
+
+def _tile_neighbours(count: int, least: list[np.ndarray]):
+    """Nearest members of one tile for each participant of another, both ways, over the cells that must meet."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        b, first, second = key
         rows = rows.sort_values("i", kind="stable")
-        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        frames = []
-        if len(left) and len(right):
-            left_ids, right_ids = left["i"].to_numpy(), right["i"].to_numpy()
-            a_all, b_all = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            same = key[1:3] == key[3:5]
-            for start in range(0, len(left), STRIP):
-                stop, near = min(start + STRIP, len(left)), None
-                for low in range(0, len(right), OTHER_STRIP):
-                    high = min(low + OTHER_STRIP, len(right))
-                    d = _strip_distances(a_all[start:stop], b_all[low:high])
-                    if same:  # not its own neighbour
-                        d[left_ids[start:stop, None] == right_ids[None, low:high]] = np.inf
-                    near = _keep_nearest(near, d, right_ids[low:high], count)
+        tile, cell, radius, ids = (rows[c].to_numpy() for c in ("tile", "cell", "radius", "i"))
+        vectors, frames = np.stack(rows["v"].to_numpy()), []
+        for mine, theirs in {(first, second), (second, first)}:
+            right = np.flatnonzero(tile == theirs)
+            for c in np.unique(cell[tile == mine]):
+                searching = np.flatnonzero((tile == mine) & (cell == c))
+                others = right[radius[right] >= least[b][c, cell[right]]]
+                if not len(others):
+                    continue
+                best = compare_tiles(vectors[searching], vectors[others], count, skip=_same_ids(ids[searching], ids[others]),
+                                     sums=False, both=False)[1]
+                distances, near = best.lists(ids[others])
                 frames.append(pd.DataFrame({
-                    "b": key[0], "i": left_ids[start:stop], "met": len(right),
-                    "near_distance": list(near[0]), "near_id": list(near[1])}))
+                    "b": b, "i": ids[searching], "met": len(others), "near_distance": distances, "near_id": near}))
         none = pd.DataFrame({c: pd.Series(dtype=object) for c in ("b", "i", "met", "near_distance", "near_id")})
         return pd.concat(frames) if frames else none
 
@@ -108,13 +142,13 @@ def _tile_neighbours(count: int):
 
 
 def nearest_neighbours(
-    blocks: Blocks, k: int = 20, pivots: int | None = None, tile_rows: int = TILE_ROWS
+    blocks: Blocks, k: int = 20, pivots: int | None = None, tile_rows: int | None = None
 ) -> Neighbours:
     """The ``k`` nearest other participants per block and participant, equal to a comparison of all pairs.
 
     Distances that agree to nine digits count as equal, and ids decide. ``pivots`` are the participants with the lowest
     hashes; large cells, such as a third of all rows being copies, are cut into tiles by a hash of the id, so no task holds
-    more than two tiles. With fewer than ``k`` others all of them are returned; a lone participant has none.
+    more than two tiles. Tiles of ``tile_rows`` grow with the table unless given, so that a row is sent to few of them. With fewer than ``k`` others all of them are returned; a lone participant has none.
     """
     spark, names = blocks.table.sparkSession, blocks.names
     id_type = dict(blocks.table.dtypes)[blocks.id_column]
@@ -126,15 +160,24 @@ def nearest_neighbours(
     long = blocks.table.select(F.col(blocks.id_column).alias("i"), F.inline(vectors)).select("b", "i", "v")
     celled = stage(long.mapInPandas(*_nearest_pivot(places, id_type)), "cells")
 
-    sizes = celled.groupBy("b", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("reach"))
-    sizes = stage(sizes.withColumn("parts", F.ceil(F.col("n") / tile_rows).cast("int")), "cell-sizes")
+    if tile_rows is None:
+        widest = max((p.shape[1] for p in places if p.ndim == 2), default=1)
+        share = ceil(blocks.n_rows / ceil(sqrt(2 * spark.sparkContext.defaultParallelism)))
+        tile_rows = min(max(share, TILE_ROWS), max(TILE_ROWS, TILE_BYTES // (8 * max(1, widest))))
+    sizes = stage(celled.groupBy("b", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("reach")), "cell-sizes")
     # At most PIVOTS rows per block.
-    tiled = celled.join(F.broadcast(sizes.select("b", "cell", "parts")), ["b", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
+    numbers = [[] for _ in names]
+    for row in sizes.orderBy("b", "cell").collect():
+        numbers[row["b"]].append((row["cell"], row["n"]))
+    tiles = [_packed(places[b], cells, tile_rows) if cells else {} for b, cells in enumerate(numbers)]
+    packed = [(b, cell, *place) for b, found in enumerate(tiles) for cell, place in found.items()]
+    packed = spark.createDataFrame(packed, "b int, cell int, first int, parts int")
+    tiled = celled.join(F.broadcast(packed), ["b", "cell"]).withColumn(
+        "tile", F.col("first") + F.pmod(F.xxhash64("i"), F.col("parts")).cast("int")).drop("first", "parts")
     tiled = stage(tiled, "tiles")
-    # The radii nearest to each pivot, first per part and then per cell.
-    near = tiled.select("b", "cell", "part", "radius")
-    for keys in (["b", "cell", "part"], ["b", "cell"]):
+    # The radii nearest to each pivot, first per tile and then per cell.
+    near = tiled.select("b", "cell", "tile", "radius")
+    for keys in (["b", "cell", "tile"], ["b", "cell"]):
         order = Window.partitionBy(*keys).orderBy("radius")
         near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
     lists = near.groupBy("b", "cell").agg(F.sort_array(F.collect_list("radius")).alias("near"))
@@ -143,24 +186,18 @@ def nearest_neighbours(
         bounds[row["b"]].append((row["cell"], row["reach"], np.array(row["near"])))
     found = [(b, *route) for b, cells in enumerate(bounds) if cells for route in _routes(places[b], cells, k)]
     routes = stage(spark.createDataFrame(found, "b int, cell int, other int, least double"), "routes")
-
-    located = routes.join(F.broadcast(sizes.select("b", "cell", F.col("parts").alias("left_parts"))), ["b", "cell"]).join(
-        F.broadcast(sizes.select("b", F.col("cell").alias("other"), F.col("parts").alias("right_parts"))), ["b", "other"])
-    located = broadcast_if_small(stage(located, "located"))
-
-    def every(parts: str):
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-
-    pair = ["b", "cell", "part", "other", "other_part"]
-    left = tiled.drop("parts", "radius").join(located, ["b", "cell"]).withColumn("other_part", every("right_parts"))
-    right = (
-        tiled.drop("parts").withColumnsRenamed({"cell": "other", "part": "other_part"}).join(located, ["b", "other"])
-        .where(F.col("radius") >= F.col("least")).withColumn("part", every("left_parts"))
-    )
-    sent = left.select(*pair, "i", "v", F.lit(0).alias("side")).unionByName(
-        right.select(*pair, "i", "v", F.lit(1).alias("side")))
-    met = stage(sent.groupBy(*pair).applyInPandas(
-        _tile_neighbours(max(k, 1)),
+    least = [np.full((len(by_hash), len(by_hash)), np.inf) for _ in names]
+    for b, cell, other, radius in found:
+        least[b][cell, other] = radius
+    visits = [(b, *visit) for b in range(len(names)) for visit in _visits(tiles[b], least[b])]
+    visits = spark.createDataFrame(visits, "b int, cell int, first int, parts int, bound double")  # at most a row per two cells
+
+    pair = ["b", "one", "two"]
+    met = tiled.join(F.broadcast(visits), ["b", "cell"]).where(F.col("radius") >= F.col("bound"))
+    met = met.withColumn("other", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))).select(
+        "b", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"), "tile", "cell", "radius", "i", "v")
+    met = stage(met.groupBy(*pair).applyInPandas(
+        _tile_neighbours(max(k, 1), least),
         f"b int, i {id_type}, met long, near_distance array<double>, near_id array<{id_type}>"), "met")
 
     block = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("b") + 1).alias("block")

@@ -66,3 +66,12 @@ def test_few_participants(spark):
     assert listed(found.edges, "a") == all_pairs(frame, BLOCKS["a"], 20)
     one = nearest_neighbours(block_vectors(spark.createDataFrame(frame.head(1)), BLOCKS), 20)
     assert one.edges.count() == 0
+
+
+def test_rows_are_sent_per_tile_and_not_per_cell(spark):
+    frame = cohort(900)
+    found = nearest_neighbours(block_vectors(spark.createDataFrame(frame), BLOCKS), 5, tile_rows=300)
+    work = {r["block"]: r for r in found.work.collect()}
+    assert work["b"]["cells"] > 20
+    assert work["b"]["sent"] < 900 * 10  # a cell of a third of the rows and the tiles of the others
+    assert listed(found.edges, "b") == all_pairs(frame, BLOCKS["b"], 5)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,14 @@ from cohortloom.functions.text import name
 from cohortloom.operators.folds import FoldPlan, fold_plan
 from cohortloom.operators.moments import dense
 from cohortloom.operators.pls import Scaling, check_variables, cross_products, scaling_of, solve
-from cohortloom.operators.ranks import auroc, exact_median
+from cohortloom.operators.ranks import ROWS_PER_BOUNDARY, ROWS_PER_RANGE, RUNS, auroc_of_runs, exact_median, runs_batch, score_runs
 from cohortloom.operators.scores import best_components, mode_components
 from cohortloom.staging import discard, stage
 
 # Cross-products that a task may hold at a time; more repetitions than fit take another pass.
 TASK_BYTES = 256 * 1024 * 1024
+# Scores that a task puts in order before it hands them on.
+CHUNK_SCORES = 8_000_000
 
 
 @dataclass
@@ -87,6 +90,19 @@ class Cells:
         return [self.number[rep, plan.outer[a], 0]] + [
             self.number[rep, o, inner[a]] for o, inner in plan.inner.items() if inner[a]]
 
+    def of(self, rep: int) -> list[int]:
+        """Evaluated folds of a repetition."""
+        return [f for f, fold in enumerate(self.folds) if fold[0] == rep]
+
+    def ranges(self) -> dict[int, list[int]]:
+        """Per evaluated fold the ranges whose rows it holds."""
+        found: dict[int, list[int]] = {f: [] for f in range(len(self.folds))}
+        for rep, plan in self.plans.items():
+            for a in range(len(plan.outer)):
+                for fold in self.evaluated(rep, a):
+                    found[fold].append(a)
+        return found
+
     def names(self, spark) -> DataFrame:
         return spark.createDataFrame(
             [((f * len(self.components) + m) * self.n_outcomes + k, *fold, count)
@@ -117,38 +133,71 @@ def fold_medians(located: DataFrame, y_vars: Sequence[str], cells: Cells) -> dic
     return {(r["fold"], r["outcome"]): r["median"] for r in medians.collect()}
 
 
-def _scores(x_vars, y_vars, scaling: Scaling, cells: Cells, coefs: dict, medians: dict):
-    """Per row: label and score for each model that did not see the row."""
+def _score_runs(x_vars, y_vars, scaling: Scaling, cells: Cells, coefs: dict, medians: dict, cuts: dict):
+    """Per task and chunk of rows: the scores of the models that did not see a row, as runs per cell, class and value range."""
     n_y, n_m = len(y_vars), len(cells.components)
+    ranges_in = cells.ranges()
+    scores_per_row = max(1, len(cells.folds) * n_m * n_y // max(1, min(len(set(plan.outer)) for plan in cells.plans.values())))
+    chunk = max(1, CHUNK_SCORES // scores_per_row)
+    none = np.empty(0)
+
+    def scored(x: np.ndarray, y: np.ndarray, ranges: dict[int, np.ndarray]) -> pa.RecordBatch:
+        runs: list[tuple] = []
+        for rep, plan in cells.plans.items():
+            order = np.argsort(ranges[rep], kind="stable")
+            starts = np.searchsorted(ranges[rep][order], np.arange(len(plan.outer) + 1))
+            for fold in cells.of(rep):
+                rows = np.concatenate([order[starts[a]:starts[a + 1]] for a in ranges_in[fold]])
+                if not len(rows):
+                    continue
+                coef, intercept = coefs[fold]
+                # Beyond nine digits lies noise of the matrix product, which must
+                # not part rows with equal values.
+                score = np.round(x[rows] @ coef + intercept, 9)
+                for k in range(n_y):
+                    label = y[rows, k] > medians[fold, k]
+                    for m in range(n_m):
+                        cell = (fold * n_m + m) * n_y + k
+                        runs += score_runs(cell, label, score[:, m * n_y + k], cuts.get(cell, none))
+        return runs_batch(runs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def joined():
+            x, y, *found = (np.concatenate(part) for part in zip(*held))
+            return scored(x, y, dict(zip(cells.plans, found)))
+
         for batch in batches:
-            x = (dense(batch, x_vars) - scaling.x_mean) / scaling.x_sd
-            y = dense(batch, y_vars)
-            found: list[tuple] = []
-            for rep in cells.plans:
-                ranges = batch.column(f"__range{rep}").to_numpy(zero_copy_only=False)
-                for a in np.unique(ranges):
-                    rows = np.flatnonzero(ranges == a)
-                    xa, ya = x[rows], y[rows]
-                    for fold in cells.evaluated(rep, int(a)):
-                        middle = np.array([medians[fold, k] for k in range(n_y)])
-                        label = np.tile((ya > middle).astype(np.int8), (1, n_m))
-                        coef, intercept = coefs[fold]
-                        # Beyond nine digits lies noise of the matrix product, which must
-                        # not part rows with equal values.
-                        score = np.round(xa @ coef + intercept, 9)
-                        first = fold * n_m * n_y
-                        cell = np.tile(np.arange(first, first + n_m * n_y, dtype=np.int32), (len(rows), 1))
-                        found.append((cell.ravel(), label.ravel(), score.ravel()))
-            if found:
-                cell, label, score = (np.concatenate(part) for part in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(label), pa.array(score)], names=["cell", "label", "score"])
+            if batch.num_rows:
+                held.append(((dense(batch, x_vars) - scaling.x_mean) / scaling.x_sd, dense(batch, y_vars),
+                             *[batch.column(f"__range{rep}").to_numpy(zero_copy_only=False) for rep in cells.plans]))
+            if sum(len(part[0]) for part in held) >= chunk:
+                yield joined()
+                held = []
+        if held:
+            yield joined()
 
     return run
 
 
+def _range_cuts(located: DataFrame, cells: Cells, score, rows_per_range: int) -> dict[int, np.ndarray]:
+    """Per cell the limits of value ranges of about ``rows_per_range`` scores; any limits give the same areas.
+
+    ``score`` makes the runs of a table. A share of the rows, as many for each range, places the limits.
+    """
+    n_rows = located.count()
+    largest = n_rows / min(len(set(plan.outer)) for plan in cells.plans.values())
+    count = ceil(largest / rows_per_range)
+    if count <= 1:
+        return {}
+    looked_at = located.sample(fraction=min(1.0, ROWS_PER_BOUNDARY * count / n_rows), seed=7)
+    shares = "array(" + ", ".join(f"{i / count!r}D" for i in range(1, count)) + ")"
+    found = looked_at.mapInArrow(score({}), RUNS).selectExpr("cell", "explode(score) AS score").where("NOT isnan(score)").groupBy("cell").agg(
+        F.expr(f"percentile_approx(score, {shares}, {20 * count})").alias("cuts"))
+    return {r["cell"]: np.unique(r["cuts"]) for r in found.collect()}
+
+
 def _coefficients(models: DataFrame, n_x: int, n_y: int, cells: Cells) -> dict:
     """Per evaluated fold the coefficients of all component counts side by side.
 
@@ -177,13 +226,14 @@ def run_plsr_cv(
     seed: int = 42,
     n_repetitions: int = 1,
     id_column: str = ID_COLUMN,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> CrossValidation:
     """Double cross-validation, the component count chosen by inner AUROC.
 
     The folds of a repetition cut the key order into short ranges; the cross-products of each
     range are summed in one pass and every training set is a sum of ranges, so that the cost
     of the fits does not grow with the number of folds. A second pass scores each row with the
-    models that did not see it. An outcome's label is whether it lies above its median in the
+    models that did not see it; tasks hand on sorted runs of scores, not a row per score. An outcome's label is whether it lies above its median in the
     evaluated fold.
     """
     components = sorted(n_components_range or range(1, 6))
@@ -216,14 +266,12 @@ def run_plsr_cv(
         cells = Cells(reps, components, n_y)
         coefs = _coefficients(models, n_x, n_y, cells)
         medians = fold_medians(located, y_vars, cells)
-        scored = stage(located.mapInArrow(
-            _scores(x_vars, y_vars, scaling, cells, coefs, medians),
-            "cell int, label tinyint, score double"), "scored")
-        by_cell = auroc(scored, ["cell"], staged=True).join(F.broadcast(cells.names(df.sparkSession)), "cell")
+        score = partial(_score_runs, x_vars, y_vars, scaling, cells, coefs, medians)
+        runs = located.mapInArrow(score(_range_cuts(located, cells, score, rows_per_range)), RUNS)
+        by_cell = auroc_of_runs(runs).join(F.broadcast(cells.names(df.sparkSession)), "cell")
         fold_scores = stage(
             by_cell.groupBy("rep", "outer", "inner", "n_components").agg(F.avg("auroc").alias("auroc")),
             "fold-scores")
-        discard(scored)
         parts.append((models, fold_scores))
     discard(base, located)
     models = reduce(DataFrame.unionByName, [m for m, _ in parts])

@@ -74,7 +74,8 @@ class FoldPlan:
         if not self.cuts:
             return F.lit(0)
         cuts = F.array(*[F.lit(c) for c in self.cuts])
-        return F.size(F.filter(cuts, lambda cut: cut <= key))
+        # As an element of an array the key is worked out once, not once per cut.
+        return F.transform(F.array(key), lambda k: F.size(F.filter(cuts, lambda cut: cut <= k)))[0]
 
 
 def fold_plan(

@@ -69,8 +69,10 @@ def _cross_products(x_vars, y_vars, scaling: Scaling, cells: Sequence[tuple[int,
             ])
             for rep, column in cells:
                 ranges = batch.column(column).to_numpy(zero_copy_only=False)
-                for a in np.unique(ranges):
-                    rows = z[ranges == a]
+                order = np.argsort(ranges, kind="stable")
+                found, starts = np.unique(ranges[order], return_index=True)
+                for a, at in zip(found, np.split(order, starts[1:])):
+                    rows = z[at]
                     key = (rep, int(a))
                     totals[key] = totals.get(key, 0.0) + rows.T @ rows
         for (rep, a), product in totals.items():

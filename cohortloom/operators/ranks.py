@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, inf
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -248,6 +250,77 @@ def auroc(
     return _area(within, keys)
 
 
+def score_runs(cell: int, label: np.ndarray, score: np.ndarray, cuts: np.ndarray) -> list[tuple]:
+    """Rows of ``RUNS`` for scores of a cell: per class and range between the ``cuts`` an ascending run.
+
+    Where most scores repeat, a run holds each once and how often it occurs.
+    """
+    runs = []
+    for positive in (True, False):
+        values = np.sort(score[label == positive])
+        limits = np.searchsorted(values, cuts, side="right").tolist()
+        for at, (low, high) in enumerate(zip([0, *limits], [*limits, len(values)])):
+            if high > low:
+                run = values[low:high]
+                starts = np.flatnonzero(np.concatenate([[True], ~((run[1:] == run[:-1]) | np.isnan(run[:-1]))]))
+                if 2 * len(starts) > len(run):
+                    runs.append((cell, at, positive, run, None))
+                else:
+                    runs.append((cell, at, positive, run[starts], np.diff(np.append(starts, len(run)))))
+    return runs
+
+
+#: Scores of one class of a cell and a value range, ascending; ``n`` how often each occurs, NULL where all do once.
+RUNS = "cell int, range int, positive boolean, score array<double>, n array<bigint>"
+
+
+def runs_batch(runs: Sequence[tuple]) -> pa.RecordBatch:
+    cell, at, positive, score, n = zip(*runs)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cell, pa.int32()), pa.array(at, pa.int32()), pa.array(positive, pa.bool_()), pa.array(score, pa.list_(pa.float64())),
+         pa.array(n, pa.list_(pa.int64()))], names=["cell", "range", "positive", "score", "n"])
+
+
+def _run_wins(runs: pa.Table) -> pa.Table:
+    """Of a cell and range: twice the wins of positives over negatives in it, and the rows of both classes."""
+    positive = runs["positive"].to_numpy()
+    score, n = runs["score"].combine_chunks(), runs["n"].combine_chunks()
+    parts = {}
+    for kind in (True, False):
+        rows = np.flatnonzero(positive == kind)
+        values = [score[int(r)].values.to_numpy() for r in rows]
+        counts = [n[int(r)].values.to_numpy() if n[int(r)].is_valid else np.ones(len(v), np.int64) for r, v in zip(rows, values)]
+        whole = np.concatenate([*values, np.empty(0)])
+        if n.null_count == len(n):
+            parts[kind] = np.sort(whole), None
+        else:
+            order = np.argsort(whole, kind="stable")
+            parts[kind] = whole[order], np.concatenate([*counts, np.empty(0, np.int64)])[order]
+    (above, times), (below, weights) = parts[True], parts[False]
+    first, last = np.searchsorted(below, above, side="left"), np.searchsorted(below, above, side="right")
+    if weights is None:
+        wins, n_pos, n_neg = int(first.sum() + last.sum()), len(above), len(below)
+    else:
+        sums = np.concatenate([[0], np.cumsum(weights)])
+        wins, n_pos, n_neg = int(((sums[first] + sums[last]) * times).sum()), int(times.sum()), int(sums[-1])
+    return pa.table({
+        "cell": runs["cell"].slice(0, 1), "range": runs["range"].slice(0, 1), "wins": pa.array([wins], pa.int64()),
+        "pos": pa.array([n_pos], pa.int64()), "neg": pa.array([n_neg], pa.int64())})
+
+
+def auroc_of_runs(runs: DataFrame) -> DataFrame:
+    """``auroc`` per ``cell`` from packed scores, ``RUNS``: the same areas, with a row to shuffle per run in place of one per score.
+
+    A task sorts the scores of one cell and range; the negatives of the ranges before are added. NaN scores are tied above all others.
+    """
+    within = stage(runs.groupBy("cell", "range").applyInArrow(
+        _run_wins, "cell int, range int, wins bigint, pos bigint, neg bigint"), "wins")
+    # A row per cell and range.
+    earlier = Window.partitionBy("cell").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("neg").over(earlier), F.lit(0))
+    return _area(within.select("cell", (F.col("wins") / 2 + F.col("pos") * before).alias("wins"), "pos", "neg"), ["cell"])
+
+
 def _area(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Wins of positives over negatives, as a share of the pairs."""
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
